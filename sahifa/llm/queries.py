@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sahifa.llm import bpe, exact_dedup, mixing, secrets, sharding
+from sahifa.llm import bpe, exact_dedup, mixing, quality_rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.assess(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "posterior")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ FROM o GROUP BY doc_id, size, source_size, target, source
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_exact_dedup": op2_exact_dedup,
         "op5_sharding": op5_sharding,
         "op8_mixing": op8_mixing,
