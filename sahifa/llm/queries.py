@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sahifa.llm import bpe, exact_dedup, mixing, quality_rules, secrets, sharding
+from sahifa.llm import bpe, exact_dedup, mixing, quality_rules, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -50,6 +54,14 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS owner FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> owner THEN owner END AS refers_to
+FROM o
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || CAST(doc_id AS VARCHAR)) AS k
@@ -87,6 +99,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op2_exact_dedup": op2_exact_dedup,
         "op5_sharding": op5_sharding,
+        "op6_warc": op6_warc,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_secrets": op10_secrets,
@@ -94,4 +107,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op8_mixing": OP8_SQL}
