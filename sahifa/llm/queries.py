@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sahifa.llm import bpe, exact_dedup, html_extract, mixing, quality_rules, secrets, sharding, warc
+from sahifa.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, quality_rules, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -103,6 +107,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_html_extraction": op3_html_extraction,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sharding": op5_sharding,
         "op6_warc": op6_warc,
         "op8_mixing": op8_mixing,
