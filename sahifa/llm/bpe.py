@@ -12,7 +12,7 @@ in a transition table; the whole table would have tokens squared entries, of whi
 In the finished automaton each string has one path, its tokenization. A word is encoded from left to right: for each
 prefix the table gives the one token that the path of the prefix ends with. Decoding emits the arcs' labels.
 
-Words are cut as the tokenizer file's fixed pattern says: by ``regex`` where a text keeps to code points on which
+Words are cut as the tokenizer file's fixed pattern says: by ``re`` where a text keeps to code points on which
 all Unicode versions agree, else by the tokenizers library's own normaliser and splitter. Defined cases: a null text is an empty one (no tokens); a
 text of any length is encoded whole; repeated rows give repeated results; only the identifier and text columns are
 read, so further columns may have any names and are not carried along.
@@ -27,7 +27,6 @@ import unicodedata
 from itertools import chain
 from pathlib import Path
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -36,9 +35,11 @@ from sahifa.llm.arrow import field, map_slices
 
 END = "</w>"
 #: A code point outside Latin, basic Greek and Cyrillic, Arabic letters and general punctuation.
-UNSETTLED = re.compile("[^\\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u0621-\u064a\u2010-\u2027\u20ac]")
+UNSETTLED = re.compile("[^\\x00-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u0621-\u064a\u2010-\u2027\u20ac]")
+#: What the classes of the fixed pattern are among the settled code points, for the standard library's ``re``.
+LETTER, NUMBER, OTHER = r"[^\W\d_²³¹¼½¾]", r"[0-9²³¹¼½¾]", r"(?:[^\w\t-\r \x85\xa0]|_)"
 #: Entries kept of the two tables that grow while encoding; either is emptied when full.
-MAX_WORDS, MAX_ARCS = 200_000, 1_000_000
+MAX_WORDS, MAX_ARCS = 500_000, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -55,13 +56,18 @@ class MergeAutomaton:
         self.vocab, self.label = vocab, {i: t for t, i in vocab.items()}
         self.gadget: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        self.longest = 1
         for time, (left, right) in enumerate(merges):
             u, v, uv = vocab[left], vocab[right], vocab[left + right]
             self.gadget[u, v] = time
             self.parts.setdefault(uv, (time, u, v))
-            self.longest = max(self.longest, len((left + right).removesuffix(END)))
         self.arcs: dict[tuple[int, int], bool] = {}
+        # Labels by symbol; "" and END have the token that a spelling is within and at the end of a word.
+        self.spelled: dict = {}
+        for token, i in vocab.items():
+            node = self.spelled
+            for symbol in token.removesuffix(END):
+                node = node.setdefault(symbol, {})
+            node[END if token.endswith(END) else ""] = i
 
     def arc(self, w: int, x: int) -> bool:
         """Whether the finished automaton has an arc ``x`` at the state after ``w``."""
@@ -87,22 +93,58 @@ class MergeAutomaton:
             else:
                 until, w = made_w, self.parts[w][2]
 
+    def steps(self, word: str, at: int) -> list[tuple[int, int]]:
+        """(token, end) of the arcs that spell on from ``at``, the shortest first; the last one must end the word."""
+        found, node, end = [], self.spelled, len(word)
+        while at < end:
+            node = node.get(word[at])
+            if node is None:
+                return found
+            at += 1
+            token = node.get("" if at < end else END)
+            if token is not None:
+                found.append((token, at))
+        return found
+
     def encode(self, word: str) -> tuple[int, ...]:
-        """Ids of the one path that spells ``word``; ``word`` has a symbol for each byte."""
-        n, vocab, arc = len(word), self.vocab, self.arc
-        path: list[tuple[int, int]] = [(-1, 0)] * (n + 1)  # at each prefix: its last token, and where that begins
-        for end in range(1, n + 1):
-            tail = END if end == n else ""
-            for begin in range(max(0, end - self.longest), end):
-                token = vocab.get(word[begin:end] + tail)
-                if token is not None and (begin == 0 or path[begin][0] >= 0 and arc(path[begin][0], token)):
-                    path[end] = (token, begin)
+        """Ids of the one path that spells ``word``; ``word`` has a symbol for each byte.
+
+        Each prefix has one path, so a place in the word from which no arc leads on is dead however it was reached.
+        """
+        n, arc = len(word), self.arc
+        if not n:
+            return ()
+        ids, ways, dead = [], [self.steps(word, 0)], set()
+        while True:
+            while ways[-1]:
+                token, end = ways[-1].pop()
+                if end not in dead and (not ids or arc(ids[-1], token)):
                     break
-        ids, at = [], n
-        while at:
-            token, at = path[at]
+            else:
+                ways.pop()
+                ids.pop()
+                continue
             ids.append(token)
-        return tuple(reversed(ids))
+            if end == n:
+                return tuple(ids)
+            ways.append(self.steps(word, end))
+            dead.add(end)
+
+
+class Known(dict):
+    """Encoded words by word; emptied when full. Very long words are not kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.encode(word)
+        if len(word) <= 40:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class WordBpe:
@@ -114,22 +156,13 @@ class WordBpe:
         self.automaton = MergeAutomaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.word = regex.compile(next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        pattern = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.settled = re.compile(pattern.replace(r"[\p{L}]", LETTER).replace(r"[\p{N}]", NUMBER).replace(r"[^\s\p{L}\p{N}]", OTHER))
         self.symbols = byte_symbols()
         self.label = self.automaton.label | {i: t for t, i in self.special.items()}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Known(lambda word: self.automaton.encode("".join([self.symbols[b] for b in word.encode()])))
         self.library = Tokenizer.from_str(spec)
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            known = self.automaton.encode("".join([self.symbols[b] for b in word.encode()]))
-            if len(word) <= 40:
-                self.words[word] = known
-        return known
-
     def plain_ids(self, text: str) -> list[int]:
         """Ids of a text without special tokens. Lower-casing goes by code point, so a final sigma isn't special."""
         if UNSETTLED.search(text):
@@ -137,8 +170,7 @@ class WordBpe:
             return list(chain.from_iterable(self.automaton.encode(word) for word, _ in words))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.word.findall(text.lower())
-        return list(chain.from_iterable(map(self.word_ids, words)))
+        return list(chain.from_iterable(map(self.words.__getitem__, self.settled.findall(text.lower()))))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
