@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sahifa.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, quality_rules, secrets, sharding, warc
+from sahifa.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality_rules, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_verdicts(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "n_lines", "n_kept", "dropped")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -110,6 +114,7 @@ def queries() -> dict:
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sharding": op5_sharding,
         "op6_warc": op6_warc,
+        "op7_line_dedup": op7_line_dedup,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_secrets": op10_secrets,
