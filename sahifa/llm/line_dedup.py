@@ -141,9 +141,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     A row that had no line to begin with stays as it is.
     """
+    names = df.columns
+    rows = df.toDF(*(f"_c{i}" for i in range(len(names))))
+    key, text = F.col(f"_c{names.index(id_col)}"), F.col(f"_c{names.index(text_col)}")
     verdicts = line_verdicts(df, id_col, text_col).filter("n_kept < n_lines").select("_id", "_text", "n_kept", "dropped")
-    keyed = df.withColumn("_key", F.xxhash64(text_col))
-    joined = keyed.join(verdicts, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
+    joined = rows.join(verdicts, key.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text")), "left")
     kept = joined.filter(F.col("n_kept").isNull() | (F.col("n_kept") > 0))
-    lines = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("dropped", i))
-    return kept.withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).select(*df.columns)
+    # Two steps: the places that stay, by a set difference, then the lines at these places.
+    lines = F.split(text, "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    cut = kept.withColumn("_places", places).withColumn("_lines", F.when(F.col("dropped").isNotNull(), lines))
+    left = F.array_join(F.transform("_places", lambda i: F.get("_lines", i)), "\n")
+    cut = cut.withColumn("_left", F.when(F.col("dropped").isNull(), text).otherwise(left))
+    return cut.select(*(F.col("_left" if n == text_col else f"_c{i}").alias(n) for i, n in enumerate(names)))

@@ -80,3 +80,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     same = ["_id", "source", "text_key", "size", "source_size", "target", "queued"]
     taken = ordered.groupBy(*same).agg(F.sum((F.col("_total") <= budget).cast("int")).alias("copies"))
     return taken.select(F.col("_id").alias(id_col), "source", "text_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``df`` as the mix takes it: each row as often as its copies say, none being left out.
+
+    Rows that repeat identifier, source and text can't be told apart; each is taken as often as the most taken one.
+    """
+    names = df.columns
+    rows = df.toDF(*(f"_c{i}" for i in range(len(names))))
+    place = {n: f"_c{i}" for i, n in enumerate(names)}
+    mixed = mix(df, id_col, text_col, source_col, **how).filter("copies > 0")
+    keys = [F.col(id_col).alias("_k_id"), F.col("source").alias("_k_source"), F.col("text_key").alias("_k_text")]
+    copies = mixed.groupBy(*keys).agg(F.max("copies").alias("_copies"))
+    match = F.col(place[id_col]).eqNullSafe(F.col("_k_id")) & F.col(place[source_col]).eqNullSafe(F.col("_k_source")) & (F.xxhash64(place[text_col]) == F.col("_k_text"))
+    taken = rows.join(copies, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return taken.select(*(F.col(place[n]).alias(n) for n in names))
