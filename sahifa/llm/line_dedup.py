@@ -5,12 +5,14 @@ space to count. Equal lines are one from the start. Two lines link when their se
 Jaccard similarity of PERCENT or more; the linked lines of the whole corpus make components, and of each component
 the occurrence in the smallest document, and there the first, stays. A line shorter than a shingle is a shingle.
 
-Signatures are minima of VALUES hashes over longer shingles, those that begin where no lower-case letter stands
-before: where words begin, or anywhere in scripts without case. These are a sixth of all shingles and rarely shared by
-chance. Bands of ROWS values deal lines to buckets; a line is verified against the leader that it shares most buckets
-with, exactly, on all its shingles. Buckets whose lines hang together are done; what other buckets hold is verified
-against other leaders, then against the next lines of the bucket in the order of the rest of the signature. The
-number of pairs so stays in proportion to that of lines, however many lines a bucket has.
+Signatures are of longer shingles, those that follow a space; in lines that have few spaces for their length, those
+that no lower-case letter stands before. These are a sixth of all shingles and rarely shared by chance. A shingle's
+hash names one of VALUES bins, whose minimum it may be; an empty bin has the value of the next that isn't. Bands of
+three values deal lines to buckets; a line is verified against the leader that it shares most buckets with: at least
+AGREE values of the signatures must be equal, and then the Jaccard similarity of all shingles is taken. Buckets whose
+lines hang together are done; what other buckets hold is verified against other leaders, then against the next lines
+of the bucket in the order of the rest of the signature. The number of pairs so stays in proportion to that of lines,
+however many lines a bucket has.
 
 Lines are told apart by 64-bit hashes. Defined cases: a null text has no lines; rows that repeat identifier and text
 are one document, so each keeps what the other keeps; null identifiers come first; documents without lines are in
@@ -28,10 +30,10 @@ from sahifa.llm.union_find import components
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
-LONG = r"(?s)(?<!\p{Ll})(?=([\p{L}\p{N}].{8}))"
-VALUES, ROWS = 16, 3
-#: Each band is three values; no two bands share more than one.
-BANDS = [(i, (i + 1) % VALUES, (i + 6) % VALUES) for i in range(12)]
+SPACED, UNSPACED, SPARSE = "(?s) (?=(.{8}))", r"(?s)(?<!\p{Ll})(?=(.{9}))", 24
+VALUES, AGREE = 16, 5
+#: Each band is three values; two bands share two at most.
+BANDS = [(i, (i + 1) % VALUES, (i + 6) % VALUES) for i in range(0, VALUES, 2)] + [(i, (i + 3) % VALUES, (i + 8) % VALUES) for i in (1, 5, 9, 13)]
 #: Rows of a few numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NEIGHBOURS = 3
@@ -50,15 +52,23 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def signatures(rows: DataFrame) -> DataFrame:
     """(``h``, ``m0`` to ``m15``); equal lines have equal signatures, so occurrences are combined as they come."""
-    long = F.regexp_extract_all("line", F.lit(LONG), F.lit(1))
-    parts = rows.filter(F.col("h").isNotNull()).select("h", long.alias("s"), "line")
+    spaced = F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(SPACED), F.lit(1))
+    parts = rows.filter(F.col("h").isNotNull()).select("h", "line", spaced.alias("s"))
+    unspaced = F.regexp_extract_all("line", F.lit(UNSPACED), F.lit(1))
+    parts = parts.select("h", "line", F.when(F.size("s") * SPARSE >= F.length("line"), F.col("s")).otherwise(unspaced).alias("s"))
     parts = parts.select("h", F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array("line"))).alias("s")).select("h", F.xxhash64("s").alias("x"))
-    return parts.groupBy("h").agg(*(F.min(F.hash(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(VALUES)))
+    bins = parts.select("h", F.col("x").bitwiseAND(VALUES - 1).alias("bin"), F.shiftright("x", 32).cast("int").alias("x"))
+    filled = bins.groupBy("h").agg(*(F.min(F.when(F.col("bin") == k, F.col("x"))).alias(f"m{k}") for k in range(VALUES)))
+    return filled.select("h", *(F.coalesce(*(f"m{(k + j) % VALUES}" for j in range(VALUES))).alias(f"m{k}") for k in range(VALUES)))
+
+
+def band_keys() -> list[Column]:
+    return [F.xxhash64(F.lit(j), *(F.col(f"m{v}") for v in band)) for j, band in enumerate(BANDS)]
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
     """(``bucket``, ``h``, ``rest``): a row for each band of each line; ``rest`` puts similar lines side by side."""
-    keys = [F.struct(F.xxhash64(F.lit(j), *(F.col(f"m{v}") for v in band)).alias("bucket"), F.col(f"m{(band[0] + 3) % VALUES}").alias("rest")) for j, band in enumerate(BANDS)]
+    keys = [F.struct(key.alias("bucket"), F.col(f"m{(band[0] + 2) % VALUES}").alias("rest")) for key, band in zip(band_keys(), BANDS, strict=True)]
     return signed.select("h", F.explode(F.array(*keys)).alias("b")).select("b.bucket", "h", "b.rest")
 
 
@@ -74,9 +84,11 @@ def grams(line: str) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (``h``, ``leader``) pairs whose lines are similar. ``texts`` has ``h`` and ``line``."""
-    one = pairs.join(texts, "h")
-    both = one.join(texts.select(F.col("h").alias("leader"), F.col("line").alias("leader_line")), "leader")
+    """The (``h``, ``leader``) pairs whose lines are similar. ``texts`` has ``h``, ``line`` and the signature."""
+    values = [f"m{k}" for k in range(VALUES)]
+    led = texts.select(F.col("h").alias("leader"), F.col("line").alias("leader_line"), *(F.col(v).alias(f"leader_{v}") for v in values))
+    agree = sum(((F.col(v) == F.col(f"leader_{v}")).cast("int") for v in values[1:]), (F.col("m0") == F.col("leader_m0")).cast("int"))
+    both = pairs.join(texts, "h").join(led, "leader").filter(agree >= AGREE)
     sets = both.select("h", "leader", grams("line").alias("x"), grams("leader_line").alias("y"))
     sets = sets.select("h", "leader", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
     return materialize(sets.filter(100 * F.col("c") >= PERCENT * (F.col("n") + F.col("m") - F.col("c"))).select("h", "leader"), "similar")
@@ -100,13 +112,13 @@ def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(``h``, ``leader``): links that hold each component of similar lines together."""
     rows = occurrences(df, id_col, text_col)
     signed = materialize(signatures(rows), "signatures")
-    buckets = bucket_rows(signed)
-    shared = materialize(buckets.groupBy("bucket").agg(F.min("h").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "buckets")
-    members = materialize(buckets.join(bounded(shared), "bucket"), "members")
+    keys = signed.select("h", F.explode(F.array(*band_keys())).alias("bucket"))
+    shared = materialize(keys.groupBy("bucket").agg(F.min("h").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "buckets")
+    members = materialize(bucket_rows(signed).join(bounded(shared), "bucket"), "members")
     wanted = materialize(members.select("h").distinct(), "wanted")
-    # One occurrence of each line gives its text; they are combined before they are shuffled.
-    found = rows.select("h", "line").join(bounded(wanted), "h", "left_semi")
-    texts = materialize(found.groupBy("h").agg(F.first("line").alias("line")), "lines")
+    # Occurrences are combined before they are shuffled; with the line as a key that takes no sort.
+    found = rows.select("h", "line").join(bounded(wanted), "h", "left_semi").groupBy("h", "line").agg(F.count(F.lit(1)).alias("c"))
+    texts = materialize(found.drop("c").join(signed, "h"), "lines")
     links = verified(best_leaders(members), texts)
 
     left = open_rows(members.drop("leader"), links)

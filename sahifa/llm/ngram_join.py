@@ -8,8 +8,10 @@ size; a wrong count costs time and never a link.
 
 The result is each document's component, so a large group of near copies needs its links only until it hangs
 together. Sets that are equal are one node from the start. Then, in rounds, each node is verified against the node
-that leads most of its lists; lists whose nodes hang together go; and when few pairs are left, or after ROUNDS, *all*
-pairs of different components that a list has are verified. No list, pair or text is left out for its size.
+that leads most of its lists; lists whose nodes hang together go; and when few pairs are left, or rounds find little
+more, *all* pairs of different components that a list has are taken. Of these a bitmap of each set, of the parity of
+its shingles by cell, already rules out most that aren't similar: where two bitmaps differ, so do the sets. What is
+left is verified. No list, pair or text is left out for its size.
 
 Lists of frequent shingles are cut into parts by node, each with a leader; a leader of very many nodes is given
 copies, each of which verifies some of them.
@@ -41,8 +43,11 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, CHUNK = 22, 1 << 14
 #: Nodes in one part of a list, on average, and that one copy of a leader verifies.
 PART, SHARE = 20_000, 400
-#: Rounds of leaders before all pairs that are left are verified; or when these are at most FEW times the list rows.
-ROUNDS, FEW = 4, 4
+#: Rounds of leaders before all pairs that are left are taken; or when these are at most FEW times the list rows, or
+#: when a round has linked less than YIELD of what it verified.
+ROUNDS, FEW, YIELD = 4, 4, 0.1
+#: Cells of a bitmap for each shingle of the set, at least; the number is a power of two and MIN_CELLS at least.
+CELLS, MIN_CELLS = 4, 256
 #: Rows of (node, leader) that are broadcast at most, 24 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Orders besides the first, as what a shingle's hash is multiplied by.
@@ -278,14 +283,45 @@ def next_leaders(rows: DataFrame, turn: int) -> DataFrame:
     return led.filter("component <> _top")
 
 
-def all_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of nodes in different components that a list has and sizes and places allow."""
-    x = rows.select("token", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("at").alias("leader_at"), F.col("component").alias("leader_component"))
-    pairs = rows.join(x, "token").filter((F.col("node") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & near_in_size("n", "leader_n"))
-    # At the first shingle that two prefixes share, what follows must hold the overlap that their sizes ask for.
-    most = 1 + F.least(F.col("n") - F.col("at"), F.col("leader_n") - F.col("leader_at")) - 1
+def parities(found: np.ndarray) -> np.ndarray:
+    """The bitmap of a set as 64-bit numbers: a bit is the parity of the shingles in its cell."""
+    cells = max(MIN_CELLS, 1 << int(CELLS * max(1, len(found)) - 1).bit_length())
+    counts = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def with_bitmaps(texts: DataFrame) -> DataFrame:
+    """``node``, ``text``, and ``bits`` and ``half``: the bitmap of the text's set and that of half as many cells."""
+
+    def run(batch):
+        bits = [parities(np.unique(all_shingles(t))) for t in batch.column(1).to_pylist()]
+        return {"node": batch.column(0), "text": batch.column(1), "bits": bits, "half": [b[: len(b) // 2] ^ b[len(b) // 2 :] for b in bits]}
+
+    fields = [texts.schema["node"], texts.schema["text"], *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("bits", "half"))]
+    return map_slices(texts, run, T.StructType(fields))
+
+
+def differing(x, y):
+    """In how many cells two bitmaps of one size differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, c: n + c)
+
+
+def all_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every pair of nodes in different components that a list has and that sizes, places and bitmaps allow."""
+    rows = materialize(rows.join(texts.select("node", "bits", "half"), "node"), "marked")
+    x = rows.select(*(F.col(c).alias(f"leader_{c}") for c in ("token", "n", "at", "component", "bits", "half")), F.col("node").alias("leader"))
     asked = F.ceil((F.col("n") + F.col("leader_n")) * PERCENT / (100.0 + PERCENT) - 1e-9)
-    return pairs.filter(most >= asked).select("node", "leader").distinct()
+    # At the first shingle that two prefixes share, what follows must hold the overlap that their sizes ask for.
+    most = F.least(F.col("n") - F.col("at"), F.col("leader_n") - F.col("leader_at"))
+    # Sizes that can be similar are less than a factor of two apart, so the numbers of cells are one at most.
+    size, leader_size = F.size("bits"), F.size("leader_bits")
+    differ = (
+        F.when(size == leader_size, differing("bits", "leader_bits")).when(size == 2 * leader_size, differing("half", "leader_bits")).when(2 * size == leader_size, differing("bits", "leader_half"))
+    )
+    allowed = F.col("n") + F.col("leader_n") - 2 * asked
+    open_pair = (F.col("node") < F.col("leader")) & (F.col("component") != F.col("leader_component"))
+    match = (F.col("token") == F.col("leader_token")) & open_pair & near_in_size("n", "leader_n") & (most >= asked) & (F.coalesce(differ, F.lit(0)) <= allowed)
+    return rows.join(x, match).select("node", "leader").distinct()
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,16 +334,21 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = shared_lists(named.filter((F.col("node") == F.col("_id")) & F.col("key").isNotNull()).select("node", "n", "prefix", "parts"))
     wanted = materialize(lists.select("node").distinct(), "nodes")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = materialize(df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(side, "node", "left_semi"), "texts")
+    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(side, "node", "left_semi")
+    texts = materialize(with_bitmaps(texts), "texts")
 
     links = verified(best_leaders(lists), texts)
     left = labelled(lists.drop("leader", "leader_n"), links)
     for turn in range(ROUNDS - 1):
         if pairs_left(left) <= FEW * left.count():
             break
-        links = links.unionByName(verified(best_leaders(next_leaders(left, turn + 3)), texts))
+        tried = materialize(best_leaders(next_leaders(left, turn + 3)), "tried")
+        more = verified(tried, texts)
+        links = links.unionByName(more)
         left = labelled(left.drop("component"), links)
-    links = links.unionByName(verified(all_pairs(left), texts))
+        if more.count() <= YIELD * tried.count():
+            break
+    links = links.unionByName(verified(all_pairs(left, texts), texts))
 
     found = components(links, "node", "leader").withColumnRenamed("node", "_node")
     out = rows.select("_id", "n", "key").join(several, "key", "left").withColumn("node", F.coalesce("node", "_id"))
