@@ -10,7 +10,7 @@ from sahifa.functions.language import block_language
 from sahifa.functions.text import LINE_END, SPACE, or_empty, present, replaced, rewritten, strip
 
 TATWEEL = "ـ"
-DIACRITICS = r"[ؐ-ًؚ-ٰٟۖ-ۭ]"
+DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"
 TIGHT = [(r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
 
 

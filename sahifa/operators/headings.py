@@ -12,17 +12,21 @@ CHAPTER, SECTION = "الفصل|Chapter", "القسم|Section"
 COLON = "[:：]"
 
 
-def first_group(text: Column, *patterns: str) -> Column:
-    """Group 1 of the first pattern that is found; null if none is."""
-    tried = [F.when(or_empty(text).rlike(p), F.regexp_extract(text, p, 1)) for p in patterns]
-    return F.coalesce(*tried)
+def first_group(text: Column, *patterns: tuple[str, str]) -> Column:
+    """Group 1, which can't be empty, of the first pattern that is found; null if none is.
+
+    A pattern that may begin anywhere takes the square of a text's length to fail, so each comes with a cheap one
+    that has to be found as well.
+    """
+    return F.coalesce(*(F.when(or_empty(text).rlike(sign), present(F.regexp_extract(text, pattern, 1))) for sign, pattern in patterns))
 
 
 def heading_name(text: Column, keyword: str) -> Column:
     """``Chapter 2 : Name`` or ``Name : Chapter``; the first that is found is cleaned, and may then be empty (null)."""
     after = rf"(?iU)(?:{keyword})\s*\d+\s*{COLON}\s*([^\t\n\r\d]+)"
     before = rf"(?iU)([^\t\n\r]+?)\s*{COLON}\s*(?:{keyword})"
-    name = strip(first_group(text, after, before))
+    sign = rf"(?iU){COLON}\s*(?:{keyword})"
+    name = strip(first_group(text, (rf"(?iu){keyword}", after), (sign, before)))
     return present(strip(F.regexp_replace(F.regexp_replace(name, r"(?U)\s*\d+.*$", ""), r"(?U)\s{2,}", " ")))
 
 
@@ -36,11 +40,16 @@ def section_name(text: Column) -> Column:
 
 def lazy_name(text: Column, english: str, arabic: str) -> Column:
     """The other reading of headings: English up to a number, then Arabic, then either; only stripped."""
+    either = f"{english}|{arabic}"
     return strip(
         first_group(
-            text, rf"(?iU){english}\s+\d+\s*:\s*([^0-9]+?)\s+\d+", rf"(?U){arabic}\s+\d+\s*:\s*(.+?)(?:\s+\d+|$)", rf"(?iU)(?:{english}|{arabic})\s*\d+\s*:\s*(.+)", rf"(?iU)(.+?)\s*:\s*(?:{english}|{arabic})",
+            text,
+            (f"(?iu){english}", rf"(?iU){english}\s+\d+\s*:\s*([^0-9]+?)\s+\d+"),
+            (arabic, rf"(?U){arabic}\s+\d+\s*:\s*(.+?)(?:\s+\d+|$)"),
+            (f"(?iu){either}", rf"(?iU)(?:{either})\s*\d+\s*:\s*(.+)"),
+            (rf"(?iU):\s*(?:{either})", rf"(?iU)(.+?)\s*:\s*(?:{either})"),
         )
-    )
+    )
 
 
 def lazy_chapter(text: Column) -> Column:

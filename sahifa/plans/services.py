@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sahifa.config import ChunkConfig, OcrConfig
+from sahifa.functions.frames import once
 from sahifa.functions.normalise import block_text, english_text
 from sahifa.functions.text import present
 from sahifa.operators.chunking import Chunker, chunk_blocks
@@ -20,8 +21,8 @@ def normalise(blocks: DataFrame) -> DataFrame:
     """Texts of the text layer normalised and torn paragraphs repaired."""
     kind = known_type(F.col("type"))
     has_ar, has_en = present(F.col("ar")).isNotNull(), present(F.col("en")).isNotNull()
-    rows = blocks.withColumn("type", kind).withColumn("ar", F.when(has_ar, block_text(F.col("ar"), F.col("type")))).withColumn("en", F.when(has_en, english_text(F.col("en"), F.col("type"))))
-    return repair_fragments(rows)
+    rows = once(blocks.withColumn("type", kind), "ar", F.when(has_ar, block_text(F.col("ar"), F.col("type"))))
+    return repair_fragments(once(rows, "en", F.when(has_en, english_text(F.col("en"), F.col("type")))))
 
 
 def layout(blocks: DataFrame) -> DataFrame:
