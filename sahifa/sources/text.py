@@ -38,7 +38,7 @@ def page_marked(text: Column) -> Column:
 
 def read_page_marked(spark: SparkSession, path: str) -> DataFrame:
     """Page-marked files, one document each; of pages with one number the last counts."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc_id"), F.col("value"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value"))
     rows = files.select("doc_id", F.posexplode(page_marked(F.col("value"))).alias("i", "p")).select("doc_id", "i", "p.*")
     return rows.groupBy("doc_id", "page_number").agg(F.max_by("text", "i").alias("text"))
 
