@@ -20,8 +20,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links may repeat, run both ways or lead to their own node. No links give no rows.
     """
-    live = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    live = materialize(live, "links")
+    whole = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    live = materialize(whole.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     labels = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     live = live.filter("a <> b")
     while not live.isEmpty():
