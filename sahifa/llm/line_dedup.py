@@ -5,14 +5,13 @@ space to count. Equal lines are one from the start. Two lines link when their se
 Jaccard similarity of PERCENT or more; the linked lines of the whole corpus make components, and of each component
 the occurrence in the smallest document, and there the first, stays. A line shorter than a shingle is a shingle.
 
-Signatures are of longer shingles, those that follow a space; in lines that have few spaces for their length, those
-that no lower-case letter stands before. These are a sixth of all shingles and rarely shared by chance. A shingle's
-hash names one of VALUES bins, whose minimum it may be; an empty bin has the value of the next that isn't. Bands of
-three values deal lines to buckets; a line is verified against the leader that it shares most buckets with: at least
-AGREE values of the signatures must be equal, and then the Jaccard similarity of all shingles is taken. Buckets whose
-lines hang together are done; what other buckets hold is verified against other leaders, then against the next lines
-of the bucket in the order of the rest of the signature. The number of pairs so stays in proportion to that of lines,
-however many lines a bucket has.
+Signatures are minima of VALUES hashes over longer shingles: those that follow a space and begin with no vowel; in
+lines that have few spaces for their length, those that no lower-case letter stands before; in lines that have none of
+these, the line. They are an eighth of all shingles and rarely shared by chance. Bands of three values deal lines to
+buckets; a line is verified against the leader that it shares most buckets with: AGREE per cent of the values must be
+equal, and then the Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what
+other buckets hold is verified against other leaders, then against the next lines of the bucket in the order of the
+rest of the signature. The number of pairs so stays in proportion to that of lines, however many lines a bucket has.
 
 Lines are told apart by 64-bit hashes. Defined cases: a null text has no lines; rows that repeat identifier and text
 are one document, so each keeps what the other keeps; null identifiers come first; documents without lines are in
@@ -26,14 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sahifa.cluster import materialize
+from sahifa.functions.frames import once
 from sahifa.llm.union_find import components
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
-SPACED, UNSPACED, SPARSE = "(?s) (?=(.{8}))", r"(?s)(?<!\p{Ll})(?=(.{9}))", 24
-VALUES, AGREE = 16, 5
-#: Each band is three values; two bands share two at most.
-BANDS = [(i, (i + 1) % VALUES, (i + 6) % VALUES) for i in range(0, VALUES, 2)] + [(i, (i + 3) % VALUES, (i + 8) % VALUES) for i in (1, 5, 9, 13)]
+SPACED, UNSPACED, SPARSE = "(?s) (?=([^aeiou].{7}))", r"(?s)(?<!\p{Ll})(?=(.{9}))", 40
+VALUES, AGREE = 12, 40
+#: Each band is three values; two bands share one at most.
+BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11)]
 #: Rows of a few numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NEIGHBOURS = 3
@@ -51,24 +51,23 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(``h``, ``m0`` to ``m15``); equal lines have equal signatures, so occurrences are combined as they come."""
+    """(``h``, ``sig``); equal lines have equal signatures, so occurrences are combined as they come."""
     spaced = F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(SPACED), F.lit(1))
     parts = rows.filter(F.col("h").isNotNull()).select("h", "line", spaced.alias("s"))
     unspaced = F.regexp_extract_all("line", F.lit(UNSPACED), F.lit(1))
     parts = parts.select("h", "line", F.when(F.size("s") * SPARSE >= F.length("line"), F.col("s")).otherwise(unspaced).alias("s"))
     parts = parts.select("h", F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array("line"))).alias("s")).select("h", F.xxhash64("s").alias("x"))
-    bins = parts.select("h", F.col("x").bitwiseAND(VALUES - 1).alias("bin"), F.shiftright("x", 32).cast("int").alias("x"))
-    filled = bins.groupBy("h").agg(*(F.min(F.when(F.col("bin") == k, F.col("x"))).alias(f"m{k}") for k in range(VALUES)))
-    return filled.select("h", *(F.coalesce(*(f"m{(k + j) % VALUES}" for j in range(VALUES))).alias(f"m{k}") for k in range(VALUES)))
+    least = parts.groupBy("h").agg(*(F.min(F.hash(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(VALUES)))
+    return least.select("h", F.array(*(f"m{k}" for k in range(VALUES))).alias("sig"))
 
 
 def band_keys() -> list[Column]:
-    return [F.xxhash64(F.lit(j), *(F.col(f"m{v}") for v in band)) for j, band in enumerate(BANDS)]
+    return [F.xxhash64(F.lit(j), *(F.get("sig", F.lit(v)) for v in band)) for j, band in enumerate(BANDS)]
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
     """(``bucket``, ``h``, ``rest``): a row for each band of each line; ``rest`` puts similar lines side by side."""
-    keys = [F.struct(key.alias("bucket"), F.col(f"m{(band[0] + 2) % VALUES}").alias("rest")) for key, band in zip(band_keys(), BANDS, strict=True)]
+    keys = [F.struct(key.alias("bucket"), F.get("sig", F.lit((band[2] + 1) % VALUES)).alias("rest")) for key, band in zip(band_keys(), BANDS, strict=True)]
     return signed.select("h", F.explode(F.array(*keys)).alias("b")).select("b.bucket", "h", "b.rest")
 
 
@@ -83,15 +82,23 @@ def grams(line: str) -> Column:
     return F.array_distinct(F.transform(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found), lambda g: F.xxhash64(g)))
 
 
+def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of which AGREE per cent of the signatures' values are equal; lines aren't read for that."""
+    led = texts.select(F.col("h").alias("leader"), F.col("sig").alias("leader_sig"))
+    # Each value counts for or against, so that the sum is 0 at AGREE per cent.
+    points = F.zip_with("sig", "leader_sig", lambda a, b: F.when(a == b, 100 - AGREE).otherwise(-AGREE))
+    both = bounded(materialize(pairs, "tried")).join(texts.select("h", "sig"), "h").join(led, "leader")
+    return materialize(both.filter(F.aggregate(points, F.lit(0), lambda total, p: total + p) >= 0).select("h", "leader"), "agreeing")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (``h``, ``leader``) pairs whose lines are similar. ``texts`` has ``h``, ``line`` and the signature."""
-    values = [f"m{k}" for k in range(VALUES)]
-    led = texts.select(F.col("h").alias("leader"), F.col("line").alias("leader_line"), *(F.col(v).alias(f"leader_{v}") for v in values))
-    agree = sum(((F.col(v) == F.col(f"leader_{v}")).cast("int") for v in values[1:]), (F.col("m0") == F.col("leader_m0")).cast("int"))
-    both = pairs.join(texts, "h").join(led, "leader").filter(agree >= AGREE)
-    sets = both.select("h", "leader", grams("line").alias("x"), grams("leader_line").alias("y"))
-    sets = sets.select("h", "leader", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return materialize(sets.filter(100 * F.col("c") >= PERCENT * (F.col("n") + F.col("m") - F.col("c"))).select("h", "leader"), "similar")
+    """The (``h``, ``leader``) pairs whose lines are similar. ``texts`` has ``h``, ``line`` and ``sig``."""
+    lines = texts.select("h", "line")
+    both = agreeing(pairs, texts).join(lines, "h").join(lines.select(F.col("h").alias("leader"), F.col("line").alias("leader_line")), "leader")
+    sets = once(once(both, "x", grams("line")).drop("line"), "y", grams("leader_line")).drop("leader_line")
+    shared = F.size(F.array_intersect("x", "y"))
+    similar = sets.filter((100 + PERCENT) * shared >= PERCENT * (F.size("x") + F.size("y")))
+    return materialize(similar.select("h", "leader"), "similar")
 
 
 def best_leaders(rows: DataFrame) -> DataFrame:
