@@ -46,8 +46,8 @@ PART, SHARE = 20_000, 400
 #: Rounds of leaders before all pairs that are left are taken; or when these are at most FEW times the list rows, or
 #: when a round has linked less than YIELD of what it verified.
 ROUNDS, FEW, YIELD = 4, 4, 0.1
-#: Cells of a bitmap for each shingle of the set, at least; the number is a power of two and MIN_CELLS at least.
-CELLS, MIN_CELLS = 4, 256
+#: Cells of a bitmap for each shingle of the set, at least; their number is a power of two, and MIN_CELLS at least.
+CELLS, MIN_CELLS = 1, 512
 #: Rows of (node, leader) that are broadcast at most, 24 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Orders besides the first, as what a shingle's hash is multiplied by.
@@ -100,6 +100,13 @@ def prefix_length(n):
     return n - least_overlap(n) + 1
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """The bitmap of a set as 64-bit numbers: a bit is the parity of the shingles in its cell."""
+    cells = max(MIN_CELLS, 1 << int(CELLS * max(1, len(found)) - 1).bit_length())
+    counts = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def count_sketch(df: DataFrame, text_col: str) -> np.ndarray:
     """Counts of all shingles of all documents, hashed to cells, as classes of a byte: eight to each doubling."""
     cells = 1 << SKETCH_BITS
@@ -136,18 +143,19 @@ def count_sketch(df: DataFrame, text_col: str) -> np.ndarray:
 
 
 def shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: ``_id``, ``n``, ``key`` (of the whole set; null if empty) and its prefix, rare first."""
+    """One row per input row: ``_id``, ``n``, ``key`` (of the whole set; null if empty), ``bits``, and its prefix, rare first."""
     spread = df.sparkSession.sparkContext.broadcast(count_sketch(df, text_col))
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batch):
         classes = spread.value
-        out = {"_id": batch.column(0), "n": [], "key": [], "prefix": [], "parts": []}
+        out = {"_id": batch.column(0), "n": [], "key": [], "bits": [], "prefix": [], "parts": []}
         for text in batch.column(1).to_pylist():
             found = np.unique(all_shingles(text))
             n = len(found)
             out["n"].append(n)
             out["key"].append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
+            out["bits"].append(parities(found))
             # Sets of fewer than four are similar to equal ones only.
             p = prefix_length(n) if n >= 4 else 0
             kind = classes[found >> shift]
@@ -161,47 +169,68 @@ def shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = T.StructType(
         [
             field(df, id_col, "_id"), T.StructField("n", T.IntegerType()), T.StructField("key", T.BinaryType()),
-            T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parts", T.ArrayType(T.IntegerType())),
+            T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parts", T.ArrayType(T.IntegerType())),
         ]
     )
     return materialize(map_slices(df.select(id_col, text_col), run, schema), "shingled")
 
 
+def partners(run: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the first row of its list whose size it can be similar to, and how many others there are.
+
+    Rows are ordered by list and size. A partner's size is near, and no greater than what the row's place leaves
+    room for: the overlap that the two sizes ask for must follow the shingle that the list is of.
+    """
+    key = (run.astype(np.int64) << 32) + n
+    low, high = least_overlap(n), np.minimum(n * 100 // PERCENT, (n - at) * (100 + PERCENT) // PERCENT - n)
+    first = np.searchsorted(key, (run.astype(np.int64) << 32) + low, "left")
+    after = np.searchsorted(key, (run.astype(np.int64) << 32) + high, "right")
+    return first, after - first - ((low <= n) & (n <= high))
+
+
 def shared_lists(nodes: DataFrame) -> DataFrame:
-    """The lists that have several rows: ``token``, ``node``, ``n``, ``at`` (place in the prefix), ``leader``, ``leader_n``."""
+    """The rows of lists that have a partner there: ``token``, ``node``, ``n``, ``at`` (place in the prefix), ``leader``, ``leader_n``."""
     both = F.explode(F.arrays_zip("prefix", "parts", F.sequence(F.lit(0), F.size("prefix") - 1)))
     rows = nodes.filter(F.size("prefix") > 0).select("node", "n", both.alias("e"))
     rows = rows.select(F.col("e.prefix").alias("token"), F.pmod(F.xxhash64("node"), F.col("e.parts")).cast("int").alias("part"), "node", "n", F.col("e.2").alias("at"))
-    dealt = rows.repartition("token", "part").withColumn("_rank", F.xxhash64("node", F.lit(1))).sortWithinPartitions("token", "part", "_rank").drop("_rank")
+    dealt = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
     names = ("token", "part", "node", "n", "at")
 
+    def paired(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Rows with partners; a row whose partners all go goes in the second turn."""
+        for _ in range(2):
+            new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["part"][1:] != rows["part"][:-1]))[: len(rows["token"])]
+            first, others = partners(np.cumsum(new), rows["n"].astype(np.int64), rows["at"].astype(np.int64))
+            keep = others > 0
+            lead = {"leader": rows["node"][np.minimum(first, len(keep) - 1)], "leader_n": rows["n"][np.minimum(first, len(keep) - 1)]} if len(keep) else {"leader": rows["node"], "leader_n": rows["n"]}
+            rows = {k: v[keep] for k, v in (rows | lead).items()}
+        return {k: v for k, v in rows.items() if k != "part"}
+
     def run(batches):
-        held: dict[str, np.ndarray] | None = None  # the last row, whose successor isn't known yet
-        leader = (0, 0)  # of the list that this row is in
-        follows = False  # whether this row continues a list
+        held: dict[str, np.ndarray] | None = None  # the list that may go on in the next batch; lists are cut to about PART rows
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in names}
-            size = len(now["token"])
-            same = (now["token"][1:] == now["token"][:-1]) & (now["part"][1:] == now["part"][:-1])
-            begins = np.concatenate([[not follows], ~same])
-            first = np.maximum.accumulate(np.where(begins, np.arange(size), -1))
-            lead = np.where(first < 0, leader[0], now["node"][first])
-            lead_n = np.where(first < 0, leader[1], now["n"][first])
-            keep = ~begins | np.append(same, False)
-            keep[-1] = False
-            yield {c: now[c][keep] for c in ("token", "node", "n", "at")} | {"leader": lead[keep], "leader_n": lead_n[keep]}
-            held, leader, follows = {c: now[c][-1:] for c in names}, (lead[-1], lead_n[-1]), not begins[-1]
-        if held is not None and follows:
-            yield {c: held[c] for c in ("token", "node", "n", "at")} | {"leader": [leader[0]], "leader_n": [leader[1]]}
+            changes = np.flatnonzero((now["token"][1:] != now["token"][:-1]) | (now["part"][1:] != now["part"][:-1]))
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            if cut:
+                yield paired({c: now[c][:cut] for c in names})
+            held = {c: now[c][cut:] for c in names}
+        if held is not None:
+            yield paired(held)
 
     fields = [("token", T.LongType()), ("node", T.LongType()), ("n", T.IntegerType()), ("at", T.IntegerType()), ("leader", T.LongType()), ("leader_n", T.IntegerType())]
     return materialize(map_stream(dealt, run, T.StructType([T.StructField(*f) for f in fields])), "lists")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` (written), to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_in_size(n: str, m: str):
     """Whether sets of these sizes can be similar."""
     return (F.least(n, m) * 100).cast("long") >= F.greatest(n, m).cast("long") * PERCENT
@@ -232,12 +261,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (node, leader) pairs that are similar. ``texts`` has ``node`` and ``text``."""
     copies = pairs.groupBy("leader").agg((F.floor(F.count(F.lit(1)) / SHARE) + 1).cast("int").alias("copies"))
     pairs = materialize(pairs.join(copies, "leader").withColumn("copy", F.pmod(F.xxhash64("node", F.lit(2)), F.col("copies")).cast("int")), "pairs")
-    small = pairs.count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda x: x)
-    led = texts.join(side(pairs.select("node", "leader", "copy")), "node").select("leader", "copy", "node", "text")
-    leaders = pairs.select("leader", "copy").distinct().withColumn("node", F.col("leader"))
-    own = texts.join(side(leaders), "node").select("leader", "copy", "node", "text")
-    dealt = led.unionByName(own).withColumn("_first", F.col("node") != F.col("leader")).repartition("leader", "copy").sortWithinPartitions("leader", "copy", "_first")
+    own = pairs.select(F.col("leader").alias("node"), "leader", "copy").distinct()
+    wanted = bounded(materialize(pairs.select("node", "leader", "copy").unionByName(own), "wanted"))
+    led = texts.join(wanted, "node").select("leader", "copy", "node", "text")
+    dealt = led.withColumn("_first", F.col("node") != F.col("leader")).repartition("leader", "copy").sortWithinPartitions("leader", "copy", "_first")
 
     def run(batches):
         now, sets = None, []
@@ -260,9 +287,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` with the ``component`` of each node so far, without the lists that have one only."""
-    found = components(links, "node", "leader")
-    rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = materialize(rows.select("token", "node", "n", "at", "component"), "labelled")
+    found = bounded(components(links, "node", "leader"))
+    rows = rows.join(found, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
     several = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     return materialize(rows.join(several, "token"), "open")
 
@@ -283,45 +309,58 @@ def next_leaders(rows: DataFrame, turn: int) -> DataFrame:
     return led.filter("component <> _top")
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """The bitmap of a set as 64-bit numbers: a bit is the parity of the shingles in its cell."""
-    cells = max(MIN_CELLS, 1 << int(CELLS * max(1, len(found)) - 1).bit_length())
-    counts = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+def differing(x, y):
+    """In how many cells two bitmaps of one size differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, c: n + c)
 
 
-def with_bitmaps(texts: DataFrame) -> DataFrame:
-    """``node``, ``text``, and ``bits`` and ``half``: the bitmap of the text's set and that of half as many cells."""
+def folded(bits):
+    """The bitmap of half as many cells."""
+    half = F.floor(F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda a, b: a.bitwiseXOR(b))
 
-    def run(batch):
-        bits = [parities(np.unique(all_shingles(t))) for t in batch.column(1).to_pylist()]
-        return {"node": batch.column(0), "text": batch.column(1), "bits": bits, "half": [b[: len(b) // 2] ^ b[len(b) // 2 :] for b in bits]}
 
-    fields = [texts.schema["node"], texts.schema["text"], *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("bits", "half"))]
-    return map_slices(texts, run, T.StructType(fields))
+def bits_allow():
+    """Whether the bitmaps of two sets, of sizes that can be similar, differ in no more cells than similar sets can.
 
+    Such sizes are less than a factor of two apart, so one number of cells is at most twice the other.
+    """
+    size, leader_size = F.size("bits"), F.size("leader_bits")
+    differ = F.when(size == leader_size, differing("bits", "leader_bits")).when(size == 2 * leader_size, differing(folded("bits"), "leader_bits"))
+    differ = differ.when(2 * size == leader_size, differing("bits", folded("leader_bits"))).otherwise(0)
+    return differ <= F.col("n") + F.col("leader_n") - 2 * asked()
+
+
+def asked():
+    """The overlap that two sets of sizes ``n`` and ``leader_n`` need."""
+    return F.ceil((F.col("n") + F.col("leader_n")) * PERCENT / (100.0 + PERCENT) - 1e-9)
 
-def differing(x, y):
-    """In how many cells two bitmaps of one size differ."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, c: n + c)
 
+def viable(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The (node, leader) pairs that sizes and bitmaps allow. ``bits`` has ``node``, ``n`` and ``bits``."""
+    led = bits.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("bits").alias("leader_bits"))
+    both = pairs.join(bits, "node").join(led, "leader").filter(near_in_size("n", "leader_n"))
+    return materialize(both.filter(bits_allow()).select("node", "leader").distinct(), "viable")
 
-def all_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every pair of nodes in different components that a list has and that sizes, places and bitmaps allow."""
-    rows = materialize(rows.join(texts.select("node", "bits", "half"), "node"), "marked")
-    x = rows.select(*(F.col(c).alias(f"leader_{c}") for c in ("token", "n", "at", "component", "bits", "half")), F.col("node").alias("leader"))
-    asked = F.ceil((F.col("n") + F.col("leader_n")) * PERCENT / (100.0 + PERCENT) - 1e-9)
+
+def all_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Every pair of nodes in different components that a list has and that sizes, places and bitmaps allow.
+
+    In the join itself the bitmaps are those folded to MIN_CELLS cells, as columns, which rule out most pairs of sets
+    of up to about as many shingles; pairs of larger sets meet their whole bitmaps after it.
+    """
+    columns = range(MIN_CELLS // 64)
+    place = lambda k: F.aggregate(F.filter("bits", lambda x, i: F.pmod(i, F.lit(len(columns))) == k), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+    mine = bits.join(bounded(materialize(rows.select("node").distinct(), "nodes")), "node", "left_semi").select("node", *(place(k).alias(f"b{k}") for k in columns))
+    rows = materialize(rows.join(bounded(materialize(mine, "bits")), "node"), "marked")
+    x = rows.select(*(F.col(c).alias(f"leader_{c}") for c in ("token", "n", "at", "component", *(f"b{k}" for k in columns))), F.col("node").alias("leader"))
     # At the first shingle that two prefixes share, what follows must hold the overlap that their sizes ask for.
     most = F.least(F.col("n") - F.col("at"), F.col("leader_n") - F.col("leader_at"))
-    # Sizes that can be similar are less than a factor of two apart, so the numbers of cells are one at most.
-    size, leader_size = F.size("bits"), F.size("leader_bits")
-    differ = (
-        F.when(size == leader_size, differing("bits", "leader_bits")).when(size == 2 * leader_size, differing("half", "leader_bits")).when(2 * size == leader_size, differing("bits", "leader_half"))
-    )
-    allowed = F.col("n") + F.col("leader_n") - 2 * asked
     open_pair = (F.col("node") < F.col("leader")) & (F.col("component") != F.col("leader_component"))
-    match = (F.col("token") == F.col("leader_token")) & open_pair & near_in_size("n", "leader_n") & (most >= asked) & (F.coalesce(differ, F.lit(0)) <= allowed)
-    return rows.join(x, match).select("node", "leader").distinct()
+    differ = sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"leader_b{k}"))) for k in columns)
+    match = (F.col("token") == F.col("leader_token")) & open_pair & near_in_size("n", "leader_n") & (most >= asked()) & (differ <= F.col("n") + F.col("leader_n") - 2 * asked())
+    pairs = materialize(rows.join(x, match).select("node", "leader").distinct(), "pairs")
+    return viable(pairs, bits)
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,24 +370,22 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = materialize(classes.filter("c > 1").select("key", "node"), "classes")
     # A set that only one row has is its row's; of others, the rows of the smallest identifier stand for all.
     named = rows.join(several, "key", "left").withColumn("node", F.coalesce("node", "_id"))
-    lists = shared_lists(named.filter((F.col("node") == F.col("_id")) & F.col("key").isNotNull()).select("node", "n", "prefix", "parts"))
-    wanted = materialize(lists.select("node").distinct(), "nodes")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(side, "node", "left_semi")
-    texts = materialize(with_bitmaps(texts), "texts")
+    nodes = named.filter((F.col("node") == F.col("_id")) & F.col("key").isNotNull())
+    lists, bits = shared_lists(nodes.select("node", "n", "prefix", "parts")), nodes.select("node", "n", "bits")
+    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
 
-    links = verified(best_leaders(lists), texts)
+    links = verified(viable(best_leaders(lists), bits), texts)
     left = labelled(lists.drop("leader", "leader_n"), links)
     for turn in range(ROUNDS - 1):
         if pairs_left(left) <= FEW * left.count():
             break
-        tried = materialize(best_leaders(next_leaders(left, turn + 3)), "tried")
+        tried = viable(best_leaders(next_leaders(left, turn + 3)), bits)
         more = verified(tried, texts)
         links = links.unionByName(more)
         left = labelled(left.drop("component"), links)
         if more.count() <= YIELD * tried.count():
             break
-    links = links.unionByName(verified(all_pairs(left, texts), texts))
+    links = links.unionByName(verified(all_pairs(left, bits), texts))
 
     found = components(links, "node", "leader").withColumnRenamed("node", "_node")
     out = rows.select("_id", "n", "key").join(several, "key", "left").withColumn("node", F.coalesce("node", "_id"))
@@ -360,5 +397,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``df`` without the documents that aren't the smallest of their component."""
     found = near_components(df, id_col, text_col)
     gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return df.join(side, df[id_col] == F.col("_gone"), "left_anti")
+    return df.join(bounded(gone), df[id_col] == F.col("_gone"), "left_anti")
