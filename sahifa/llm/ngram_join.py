@@ -339,7 +339,9 @@ def asked():
 def viable(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The (node, leader) pairs that sizes and bitmaps allow. ``bits`` has ``node``, ``n`` and ``bits``."""
     led = bits.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("bits").alias("leader_bits"))
-    both = pairs.join(bits, "node").join(led, "leader").filter(near_in_size("n", "leader_n"))
+    # The bitmaps of all nodes stay where they are: the pairs go to them, unless there are very many.
+    one = materialize(bits.join(bounded(materialize(pairs, "tried")), "node"), "half")
+    both = led.join(bounded(one), "leader").filter(near_in_size("n", "leader_n"))
     return materialize(both.filter(bits_allow()).select("node", "leader").distinct(), "viable")
 
 
@@ -369,7 +371,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("c"))
     several = materialize(classes.filter("c > 1").select("key", "node"), "classes")
     # A set that only one row has is its row's; of others, the rows of the smallest identifier stand for all.
-    named = rows.join(several, "key", "left").withColumn("node", F.coalesce("node", "_id"))
+    named = rows.join(bounded(several), "key", "left").withColumn("node", F.coalesce("node", "_id"))
     nodes = named.filter((F.col("node") == F.col("_id")) & F.col("key").isNotNull())
     lists, bits = shared_lists(nodes.select("node", "n", "prefix", "parts")), nodes.select("node", "n", "bits")
     texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
@@ -388,8 +390,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = links.unionByName(verified(all_pairs(left, bits), texts))
 
     found = components(links, "node", "leader").withColumnRenamed("node", "_node")
-    out = rows.select("_id", "n", "key").join(several, "key", "left").withColumn("node", F.coalesce("node", "_id"))
-    out = out.join(found, F.col("node") == F.col("_node"), "left")
+    out = rows.select("_id", "n", "key").join(bounded(several), "key", "left").withColumn("node", F.coalesce("node", "_id"))
+    out = out.join(bounded(found), F.col("node") == F.col("_node"), "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
