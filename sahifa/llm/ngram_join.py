@@ -45,7 +45,7 @@ SKETCH_BITS, CHUNK = 22, 1 << 14
 PART, SHARE = 20_000, 400
 #: Rounds of leaders before all pairs that are left are taken; or when these are at most FEW times the list rows, or
 #: when a round has linked less than YIELD of what it verified.
-ROUNDS, FEW, YIELD = 4, 4, 0.1
+ROUNDS, FEW, YIELD = 4, 4, 0.3
 #: Cells of a bitmap for each shingle of the set, at least; their number is a power of two, and MIN_CELLS at least.
 CELLS, MIN_CELLS = 1, 512
 #: Rows of (node, leader) that are broadcast at most, 24 bytes each; more are joined by a shuffle.
