@@ -340,8 +340,9 @@ def viable(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The (node, leader) pairs that sizes and bitmaps allow. ``bits`` has ``node``, ``n`` and ``bits``."""
     led = bits.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("bits").alias("leader_bits"))
     # The bitmaps of all nodes stay where they are: the pairs go to them, unless there are very many.
-    one = materialize(bits.join(bounded(materialize(pairs, "tried")), "node"), "half")
-    both = led.join(bounded(one), "leader").filter(near_in_size("n", "leader_n"))
+    pairs = materialize(pairs, "tried")
+    send = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda x: x)
+    both = led.join(send(bits.join(send(pairs), "node")), "leader").filter(near_in_size("n", "leader_n"))
     return materialize(both.filter(bits_allow()).select("node", "leader").distinct(), "viable")
 
 
