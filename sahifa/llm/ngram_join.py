@@ -13,8 +13,8 @@ more, *all* pairs of different components that a list has are taken. Of these a
 its shingles by cell, already rules out most that aren't similar: where two bitmaps differ, so do the sets. What is
 left is verified. No list, pair or text is left out for its size.
 
-Lists of frequent shingles are cut into parts by node, each with a leader; a leader of very many nodes is given
-copies, each of which verifies some of them.
+Lists of very many nodes are cut into parts by node, each with a leader, and keep all their rows; a leader of very
+many nodes is given copies, each of which verifies some of them.
 
 Defined cases: a null text, or one without words, has no shingles and is a component of its own; a text of fewer
 words than a shingle is one shingle; rows that repeat an identifier are one document that has all their texts, and
@@ -189,10 +189,19 @@ def partners(run: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
-    """The rows of lists that have a partner there: ``token``, ``node``, ``n``, ``at`` (place in the prefix), ``leader``, ``leader_n``."""
+    """The rows of lists that have a partner there: ``token``, ``node``, ``n``, ``at`` (place in the prefix), ``leader``, ``leader_n``.
+
+    Parts are for choosing leaders: a partner may be in any part, so the rows of a list that is cut all stay.
+    """
     both = F.explode(F.arrays_zip("prefix", "parts", F.sequence(F.lit(0), F.size("prefix") - 1)))
     rows = nodes.filter(F.size("prefix") > 0).select("node", "n", both.alias("e"))
-    rows = rows.select(F.col("e.prefix").alias("token"), F.pmod(F.xxhash64("node"), F.col("e.parts")).cast("int").alias("part"), "node", "n", F.col("e.2").alias("at"))
+    # A shingle is counted no less often than its list has nodes, so only lists that may be long are counted by node.
+    maybe = nodes.filter(F.exists("parts", lambda p: p > 1)).select(F.explode(F.arrays_zip("prefix", "parts")).alias("e")).filter("e.parts > 1")
+    long = materialize(maybe.groupBy(F.col("e.prefix").alias("token")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > PART), "long")
+    rows = rows.select(F.col("e.prefix").alias("token"), "node", "n", F.col("e.2").alias("at")).join(bounded(long), "token", "left")
+    # Parts of a list that is cut are numbered from 1; 0 is a whole list.
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.floor(F.col("c") / PART) + 1) + 1, F.lit(0)).cast("int")
+    rows = rows.select("token", part.alias("part"), "node", "n", "at")
     dealt = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
     names = ("token", "part", "node", "n", "at")
 
@@ -201,7 +210,7 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
         for _ in range(2):
             new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["part"][1:] != rows["part"][:-1]))[: len(rows["token"])]
             first, others = partners(np.cumsum(new), rows["n"].astype(np.int64), rows["at"].astype(np.int64))
-            keep = others > 0
+            keep = (others > 0) | (rows["part"] > 0)
             lead = {"leader": rows["node"][np.minimum(first, len(keep) - 1)], "leader_n": rows["n"][np.minimum(first, len(keep) - 1)]} if len(keep) else {"leader": rows["node"], "leader_n": rows["n"]}
             rows = {k: v[keep] for k, v in (rows | lead).items()}
         return {k: v for k, v in rows.items() if k != "part"}

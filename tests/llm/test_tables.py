@@ -90,6 +90,20 @@ def test_a_large_group_of_near_copies(spark):
     assert got == of
 
 
+def test_lists_in_parts_lose_no_link(spark, monkeypatch):
+    """Groups of few near copies whose lists are cut: a partner may be in another part."""
+    monkeypatch.setattr(ngram_join, "PART", 2)
+    rng, texts = random.Random(21), []
+    for g in range(40):
+        base = [f"g{g}_{k}" for k in range(80)]
+        texts += [" ".join(w if k != rng.randrange(80) else f"x{len(texts)}_{i}" for k, w in enumerate(base)) for i in range(2 + g % 6)]
+    rows = list(enumerate(texts))
+    sets = [(i, shingles(t)) for i, t in rows]
+    of = connected(range(len(rows)), [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 100 * len(x & y) >= 80 * len(x | y)])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == of and len(set(of.values())) < len(of)
+
+
 def test_bitmaps_never_differ_more_than_sets():
     rng = np.random.default_rng(3)
     for _ in range(200):
