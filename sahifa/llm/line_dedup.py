@@ -5,13 +5,11 @@ space to count. Equal lines are one from the start. Two lines link when their se
 Jaccard similarity of PERCENT or more; the linked lines of the whole corpus make components, and of each component
 the occurrence in the smallest document, and there the first, stays. A line shorter than a shingle is a shingle.
 
-Signatures are minima of VALUES hashes over longer shingles: those that follow a space and begin with no vowel; in
-lines that have few spaces for their length, those that no lower-case letter stands before; in lines that have none of
-these, the line. They are an eighth of all shingles and rarely shared by chance. Bands of three values deal lines to
-buckets; a line is verified against the leader that it shares most buckets with: AGREE per cent of the values must be
-equal, and then the Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what
-other buckets hold is verified against other leaders, then against the next lines of the bucket in the order of the
-rest of the signature. The number of pairs so stays in proportion to that of lines, however many lines a bucket has.
+Signatures are minima of VALUES hashes over longer shingles, an eighth of all. Bands of three values deal lines to buckets; a line is
+verified against the leader that it shares most buckets with: AGREE per cent of the values must be equal, and then the
+Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what other buckets hold is
+verified against other leaders. Then all pairs of different components that an open bucket has are taken, whatever its
+size; a few bits of each value rule out most of them where they meet, and large buckets are dealt to several tasks.
 
 Lines are told apart by 64-bit hashes. Defined cases: a null text has no lines; rows that repeat identifier and text
 are one document, so each keeps what the other keeps; null identifiers come first; documents without lines are in
@@ -22,7 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sahifa.cluster import materialize
 from sahifa.functions.frames import once
@@ -31,12 +28,16 @@ from sahifa.llm.union_find import components
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
 SPACED, UNSPACED, SPARSE = "(?s) (?=([^aeiou].{7}))", r"(?s)(?<!\p{Ll})(?=(.{9}))", 40
+SHINGLES = "(?s)(?=(.{%d}))" % GRAM
 VALUES, AGREE = 12, 40
 #: Each band is three values; two bands share one at most.
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11)]
+#: Bits of each value that a bucket's rows carry, and that many ones at the places of the lowest.
+FEW, LOWEST = 4, 0x111111111111
 #: Rows of a few numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-NEIGHBOURS = 3
+#: Rows of a bucket that one task holds against the whole bucket, on average.
+SHARE = 1000
 
 
 def normal(line: Column) -> Column:
@@ -66,9 +67,19 @@ def band_keys() -> list[Column]:
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
-    """(``bucket``, ``h``, ``rest``): a row for each band of each line; ``rest`` puts similar lines side by side."""
-    keys = [F.struct(key.alias("bucket"), F.get("sig", F.lit((band[2] + 1) % VALUES)).alias("rest")) for key, band in zip(band_keys(), BANDS, strict=True)]
-    return signed.select("h", F.explode(F.array(*keys)).alias("b")).select("b.bucket", "h", "b.rest")
+    """(``bucket``, ``h``, ``few``): a row for each band of each line; ``few`` has FEW bits of each value."""
+    few = F.lit(0).cast("bigint")
+    for k in range(VALUES):
+        few = few.bitwiseOR(F.shiftleft(F.get("sig", F.lit(k)).bitwiseAND((1 << FEW) - 1).cast("bigint"), FEW * k))
+    return signed.select("h", few.alias("few"), F.explode(F.array(*band_keys())).alias("bucket")).select("bucket", "h", "few")
+
+
+def few_agree(a: str, b: str) -> Column:
+    """Whether AGREE per cent of the values can be equal, by the bits of ``few``."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    for step in (2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+    return (VALUES - F.bit_count(x.bitwiseAND(F.lit(LOWEST)))) * 100 >= AGREE * VALUES
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def grams(line: str) -> Column:
     """The set of shingles of a line, as hashes."""
-    found = F.regexp_extract_all(line, F.lit("(?s)(?=(.{%d}))" % GRAM), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
     return F.array_distinct(F.transform(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found), lambda g: F.xxhash64(g)))
 
 
@@ -115,6 +126,21 @@ def open_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(rows.join(several, "bucket"), "open")
 
 
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of lines in different components that an open bucket has, without those that ``few`` rules out."""
+    sizes = materialize(rows.groupBy("bucket").agg((F.floor(F.count(F.lit(1)) / SHARE) + 1).cast("int").alias("parts")).filter("parts > 1"), "sizes")
+    # Each row meets the whole bucket: on one side it's in one part, on the other in each.
+    rows = rows.join(bounded(sizes), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = rows.select("bucket", "h", "component", "few", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"))
+    y = rows.select(
+        F.col("bucket").alias("leader_bucket"), F.col("h").alias("leader"), F.col("component").alias("leader_component"), F.col("few").alias("leader_few"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("leader_part"),
+    )
+    same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("part") == F.col("leader_part"))
+    met = x.join(y, same & (F.col("h") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & few_agree("few", "leader_few"))
+    return met.select("h", "leader").distinct()
+
+
 def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``h``, ``leader``): links that hold each component of similar lines together."""
     rows = occurrences(df, id_col, text_col)
@@ -133,11 +159,7 @@ def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = links.unionByName(verified(best_leaders(left.join(lead, "bucket").filter("component <> _top")), texts))
 
     left = open_rows(left.drop("component"), links)
-    order = Window.partitionBy("bucket").orderBy("rest", "h")
-    beside = left.select("h", "component", *(F.struct(F.lag("h", k).over(order).alias("h"), F.lag("component", k).over(order).alias("component")).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)))
-    beside = beside.select("h", "component", F.explode(F.array(*(f"n{k}" for k in range(1, NEIGHBOURS + 1)))).alias("n"))
-    pairs = beside.filter("n.component <> component").select("h", F.col("n.h").alias("leader")).distinct()
-    return links.unionByName(verified(pairs, texts))
+    return links.unionByName(verified(all_pairs(left), texts))
 
 
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

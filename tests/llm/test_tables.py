@@ -145,6 +145,28 @@ def test_lines_equal_brute_force(documents, no_documents):
     assert line_dedup.line_verdicts(no_documents).count() == 0
 
 
+def similar_lines(lines):
+    sets = [(x, frozenset(x[k : k + 5] for k in range(max(1, len(x) - 4)))) for x in lines]
+    return [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 100 * len(x & y) >= 80 * len(x | y)]
+
+
+def lines_kept(spark, lines):
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return sum(r["n_kept"] for r in line_dedup.line_verdicts(df).collect())
+
+
+def test_lines_of_one_template_find_their_twins(spark):
+    """All share so much that buckets are large, and each is similar enough to its twin only."""
+    rng = random.Random(14)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    template, lines = " ".join(letters(6) for _ in range(16)), []
+    for _ in range(300):
+        own = " ".join(letters(6) for _ in range(5))
+        lines += [f"{template} {own}", f"{template} {own[:-2]}{letters(2)}"]
+    of = connected(lines, similar_lines(lines))
+    assert len(set(of.values())) == 300 and lines_kept(spark, lines) <= 303
+
+
 def test_hilbert_steps_to_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
