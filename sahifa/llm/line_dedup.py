@@ -5,7 +5,7 @@ space to count. Equal lines are one from the start. Two lines link when their se
 Jaccard similarity of PERCENT or more; the linked lines of the whole corpus make components, and of each component
 the occurrence in the smallest document, and there the first, stays. A line shorter than a shingle is a shingle.
 
-Signatures are minima of VALUES hashes over longer shingles, an eighth of all. Bands of three values deal lines to buckets; a line is
+Signatures are minima of VALUES hashes over longer shingles, an eighth of all. Bands of four values deal lines to buckets; a line is
 verified against the leader that it shares most buckets with: AGREE per cent of the values must be equal, and then the
 Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what other buckets hold is
 verified against other leaders. Then all pairs of different components that an open bucket has are taken, whatever its
@@ -29,11 +29,14 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
 SPACED, UNSPACED, SPARSE = "(?s) (?=([^aeiou].{7}))", r"(?s)(?<!\p{Ll})(?=(.{9}))", 40
 SHINGLES = "(?s)(?=(.{%d}))" % GRAM
-VALUES, AGREE = 12, 40
-#: Each band is three values; two bands share one at most.
-BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11)]
+VALUES, AGREE = 16, 40
+#: Each band is four values; two bands share one at most (lines of the affine plane of order four).
+BANDS = [
+    (0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (12, 13, 14, 15), (0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15),
+    (0, 5, 10, 15), (1, 4, 11, 14), (2, 7, 8, 13), (3, 6, 9, 12), (0, 6, 11, 13), (1, 7, 10, 12), (2, 4, 9, 15), (3, 5, 8, 14),
+]
 #: Bits of each value that a bucket's rows carry, and that many ones at the places of the lowest.
-FEW, LOWEST = 4, 0x111111111111
+FEW, LOWEST = 4, 0x1111111111111111
 #: Rows of a few numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows of a bucket that one task holds against the whole bucket, on average.

@@ -167,6 +167,23 @@ def test_lines_of_one_template_find_their_twins(spark):
     assert len(set(of.values())) == 300 and lines_kept(spark, lines) <= 303
 
 
+def test_bands_find_pairs_that_are_just_similar(spark):
+    """Pairs of a similarity of 0.8 to 0.86, of words with and without vowels in front."""
+    rng, lines = random.Random(15), []
+    for k in range(400):
+        words_ = ["".join(rng.choices("aeiou" if k % 2 and not j else "bcdfghklmnprst", k=1)[0] for j in range(6)) for _ in range(30)]
+        line = " ".join(words_)
+        while True:
+            other = list(line)
+            for at in rng.sample(range(len(line)), rng.choice((3, 4, 5))):
+                other[at] = "x"
+            x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (line, "".join(other)))
+            if 0.8 <= len(x & y) / len(x | y) < 0.86:
+                break
+        lines += [line, "".join(other)]
+    assert lines_kept(spark, lines) <= 400 * 1.015
+
+
 def test_hilbert_steps_to_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
