@@ -5,7 +5,7 @@ space to count. Equal lines are one from the start. Two lines link when their se
 Jaccard similarity of PERCENT or more; the linked lines of the whole corpus make components, and of each component
 the occurrence in the smallest document, and there the first, stays. A line shorter than a shingle is a shingle.
 
-Signatures are minima of VALUES hashes over longer shingles, an eighth of all. Bands of four values deal lines to buckets; a line is
+Signatures are minima of VALUES hashes over the same shingles. Bands of four values deal lines to buckets; a line is
 verified against the leader that it shares most buckets with: AGREE per cent of the values must be equal, and then the
 Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what other buckets hold is
 verified against other leaders. Then all pairs of different components that an open bucket has are taken, whatever its
@@ -27,7 +27,6 @@ from sahifa.llm.union_find import components
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
-SPACED, UNSPACED, SPARSE = "(?s) (?=([^aeiou].{7}))", r"(?s)(?<!\p{Ll})(?=(.{9}))", 40
 SHINGLES = "(?s)(?=(.{%d}))" % GRAM
 VALUES, AGREE = 16, 40
 #: Each band is four values; two bands share one at most (lines of the affine plane of order four).
@@ -56,11 +55,8 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def signatures(rows: DataFrame) -> DataFrame:
     """(``h``, ``sig``); equal lines have equal signatures, so occurrences are combined as they come."""
-    spaced = F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(SPACED), F.lit(1))
-    parts = rows.filter(F.col("h").isNotNull()).select("h", "line", spaced.alias("s"))
-    unspaced = F.regexp_extract_all("line", F.lit(UNSPACED), F.lit(1))
-    parts = parts.select("h", "line", F.when(F.size("s") * SPARSE >= F.length("line"), F.col("s")).otherwise(unspaced).alias("s"))
-    parts = parts.select("h", F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array("line"))).alias("s")).select("h", F.xxhash64("s").alias("x"))
+    found = F.when(F.length("line") < GRAM, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)))
+    parts = rows.filter(F.col("h").isNotNull()).select("h", F.explode(found).alias("s")).select("h", F.xxhash64("s").alias("x"))
     least = parts.groupBy("h").agg(*(F.min(F.hash(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(VALUES)))
     return least.select("h", F.array(*(f"m{k}" for k in range(VALUES))).alias("sig"))
 

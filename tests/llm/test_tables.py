@@ -184,6 +184,17 @@ def test_bands_find_pairs_that_are_just_similar(spark):
     assert lines_kept(spark, lines) <= 400 * 1.015
 
 
+def test_lines_without_spaces_are_told_by_all_shingles(spark):
+    """An edit at the front of a long line of lower-case letters, and short lines with an edit at the end."""
+    rng, lines = random.Random(16), []
+    for _ in range(40):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200))
+        lines += [line, "QQ" + line[2:]]
+        short = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30))
+        lines += [short, short + "z"]
+    assert lines_kept(spark, lines) <= 81
+
+
 def test_hilbert_steps_to_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
