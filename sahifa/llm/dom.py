@@ -21,6 +21,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("audio canvas datalist head iframe math noembed noframes noscript object script style svg template textarea title video xmp".split())
 #: Unseen elements whose content is not markup; the others may hold elements of their own kind.
 RAW = frozenset("iframe noembed noframes noscript script style textarea title xmp".split())
+#: Unseen elements that go on to the end of the page if nothing ends them; of others the start tag only goes.
+ENDLESS = RAW - {"noscript"}
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCKS - frozenset("button option optgroup select".split())
 #: An open element on the left is closed by one on the right, unless a bound comes first.
 CLOSED_BY = {
@@ -54,6 +57,7 @@ class Reader:
         self.root = Node("#root", None)
         self.open: list[tuple[str, Node | None]] = []
         self.at, self.run, self.links, self.link_run = self.root, [], 0, 0
+        self.unended: set[str] = set()
         self.read(source)
         self.flush()
 
@@ -143,18 +147,38 @@ class Reader:
             elif m["end"]:
                 self.end(m["end"].lower())
 
-    @staticmethod
-    def past(source: str, tag: str, at: int) -> int:
+    def open_head(self, source: str, at: int) -> int:
+        """Where a head that nothing closes has ended: at the first text or start tag that no head has."""
+        for _ in range(len(source)):
+            m = TAG.search(source, at)
+            stop = len(source) if m is None else m.start()
+            if source[at:stop].strip():
+                return at
+            if m is None or m["tag"] and m["tag"].lower() not in IN_HEAD:
+                return stop
+            at = m.end()
+            if m["tag"] and m["tag"].lower() in UNSEEN - {"head"}:
+                at = self.past(source, m["tag"].lower(), at)
+        return at
+
+    def past(self, source: str, tag: str, at: int) -> int:
         """Where an unseen element that begins before ``at`` has ended."""
         if tag == "head":
             m = re.compile(r"</head\s*>|<body[\s>]", re.I).search(source, at)
-            return len(source) if m is None else m.end() if m[0][1] == "/" else m.start()
+            return self.open_head(source, at) if m is None else m.end() if m[0][1] == "/" else m.start()
+        if tag in self.unended:
+            return at
         pattern = re.compile(rf"</{re.escape(tag)}\s*>" if tag in RAW else rf"</{re.escape(tag)}\s*>|<{re.escape(tag)}[\s>]", re.I)
-        depth = 1
+        depth, begin, ends = 1, at, 0
         while depth:
             m = pattern.search(source, at)
             if m is None:
-                return len(source)
+                if tag in ENDLESS:
+                    return len(source)
+                if not ends:
+                    self.unended.add(tag)
+                return begin
+            ends += m[0][1] == "/"
             at, depth = m.end(), depth + (1 if m[0][1] != "/" else -1)
         return at
 

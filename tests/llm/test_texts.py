@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from sahifa.llm import bpe, html_extract, quality_rules, secrets
+from sahifa.llm import bpe, dom, html_extract, quality_rules, secrets
 from sahifa.llm.boosting import BoostedTrees
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -145,3 +145,13 @@ def test_boosting_learns():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
     model = BoostedTrees(rounds=30).fit(x[:1500], y[:1500])
     assert ((model.log_odds(x[1500:]) > 0) == (y[1500:] > 0.5)).mean() > 0.9
+
+
+def test_unclosed_unseen_elements_keep_what_follows():
+    seen = lambda page: [n.text for n in dom.ordered(dom.parse(page)) if n.tag == "#text"]
+    assert seen("<html><head><title>t</title><meta charset=x><p>one</p><p>two</p>") == ["one", "two"]
+    assert seen("<head><script>a<p>b</script>words<p>one") == ["words", "one"]
+    for tag in "canvas object video audio svg math noscript template".split():
+        assert seen(f"<p>one</p><{tag} x=y><p>two</p>") == ["one", "two"]
+        assert seen(f"<p>one</p><{tag}>gone</{tag}><p>two</p>") == ["one", "two"]
+    assert seen("<p>one</p><script>gone<p>two</p>") == ["one"]
