@@ -44,8 +44,6 @@ NAME_WEIGHTS = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:<.*>|\$\{.*\}|\$\w+|%\w+%|\{\{.*\}\}|x+|\*+|none|null|true|false|changeme|example|placeholder|your[-_ ].*|todo)$")
 THRESHOLD = 5
-#: Names are followed through at most as many bindings as a text has; this bounds a chain that leads back to itself.
-MAX_CHAIN = 16
 
 
 def name_score(name: str) -> int:
@@ -80,9 +78,11 @@ def lexed(text: str) -> list[tuple[int, int]]:
     for name, value, start, end, quoted in pairs(text):
         literal = (value, start, end)
         if not quoted and IDENTIFIER.match(value) and value in constants:
-            source, seen = constants[value], 0
-            while isinstance(source, str) and seen < MAX_CHAIN:
-                source, seen = constants.get(source, ""), seen + 1
+            source, seen = constants[value], {value}
+            # Followed to the end; a chain that leads back to itself ends where it meets a name again.
+            while isinstance(source, str) and source not in seen:
+                seen.add(source)
+                source = constants.get(source, "")
             constants[name] = value
             if not isinstance(source, tuple):
                 continue

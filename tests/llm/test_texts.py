@@ -155,3 +155,9 @@ def test_unclosed_unseen_elements_keep_what_follows():
         assert seen(f"<p>one</p><{tag} x=y><p>two</p>") == ["one", "two"]
         assert seen(f"<p>one</p><{tag}>gone</{tag}><p>two</p>") == ["one", "two"]
     assert seen("<p>one</p><script>gone<p>two</p>") == ["one"]
+
+
+def test_a_long_chain_of_names_is_followed():
+    lines = ['k0 = "Zx9Qw8Er7Ty6"', *(f"k{i + 1} = k{i}" for i in range(40)), "password = k40"]
+    assert [(s, e) for s, e in secrets.lexed("\n".join(lines))] == [(6, 18)]
+    assert secrets.lexed("a = b\nb = a\nc = a\na = c\npassword = a") == []
