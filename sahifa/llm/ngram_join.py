@@ -375,8 +375,8 @@ def all_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return viable(pairs, bits)
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: identifier, ``n_shingles`` and ``component_id``, the smallest identifier reachable."""
+def row_components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: ``_id``, ``n``, ``key`` (of the set of shingles; null if empty) and ``component_id``."""
     rows = shingled(df, id_col, text_col)
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("c"))
     several = materialize(classes.filter("c > 1").select("key", "node"), "classes")
@@ -402,11 +402,40 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(links, "node", "leader").withColumnRenamed("node", "_node")
     out = rows.select("_id", "n", "key").join(bounded(several), "key", "left").withColumn("node", F.coalesce("node", "_id"))
     out = out.join(bounded(found), F.col("node") == F.col("_node"), "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return out.select("_id", "n", "key", F.coalesce("component", "node").alias("component_id"))
+
+
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: identifier, ``n_shingles`` and ``component_id``, the smallest identifier reachable."""
+    return row_components(df, id_col, text_col).select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the documents that aren't the smallest of their component."""
-    found = near_components(df, id_col, text_col)
-    gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "copies")
-    return df.join(bounded(gone), df[id_col] == F.col("_gone"), "left_anti")
+    """``df`` without the documents that aren't the smallest of their component, and without rows that repeat one.
+
+    Of rows of one identifier, or of none, that have equal sets of shingles one stays; of those without an identifier
+    none does if a row with an identifier has the set. Rows without shingles stay.
+    """
+    names = df.columns
+    found = materialize(row_components(df, id_col, text_col), "components")
+    gone = materialize(found.filter("_id <> component_id").select(F.col("_id").alias("_gone")).distinct(), "copies")
+    kept = df.join(bounded(gone), df[id_col] == F.col("_gone"), "left_anti")
+    sets = found.filter("key IS NOT NULL AND (_id IS NULL OR _id = component_id)").groupBy("_id", "key").agg(F.count(F.lit(1)).alias("c"), F.max("component_id").alias("component"))
+    again = materialize(sets.filter("c > 1 OR component IS NOT NULL AND _id IS NULL").drop("c"), "again")
+    if again.isEmpty():
+        return kept
+    ids = bounded(materialize(again.select("_id").distinct(), "ids"))
+    rows = kept.toDF(*(f"_c{i}" for i in range(len(names))))
+    key, text = f"_c{names.index(id_col)}", names.index(text_col)
+    same = F.col(key).eqNullSafe(F.col("_id"))
+
+    def run(batch):
+        sets = (np.unique(all_shingles(t)) for t in batch.column(text).to_pylist())
+        return {n: batch.column(n) for n in batch.schema.names} | {"_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]}
+
+    told = rows.join(ids, same, "left_semi")
+    told = materialize(map_slices(told, run, T.StructType([*told.schema.fields, T.StructField("_key", T.BinaryType())])), "told")
+    owned = again.filter("_id IS NULL AND component IS NOT NULL").select("key")
+    one = told.filter("_key IS NOT NULL").dropDuplicates([key, "_key"]).join(owned, F.col(key).isNull() & (F.col("_key") == F.col("key")), "left_anti")
+    out = rows.join(ids, same, "left_anti").unionByName(told.filter("_key IS NULL").drop("_key")).unionByName(one.drop("_key"))
+    return out.toDF(*names)

@@ -104,6 +104,15 @@ def test_lists_in_parts_lose_no_link(spark, monkeypatch):
     assert got == of and len(set(of.values())) < len(of)
 
 
+def test_one_row_of_equal_sets_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a.upper()), (None, a), (None, a), (None, b), (None, b), (2, c), (3, c), (4, c), (4, d), (None, None), (None, None), (5, ""), (5, "")]
+    left = ngram_join.drop_near_copies(spark.createDataFrame(rows, "key long, text string"), "key").collect()
+    got = collections.Counter((r["key"], (r["text"] or "").lower()) for r in left)
+    # 4 is one document of two texts, one of them a copy.
+    assert got == {(1, a): 1, (None, b): 1, (2, c): 1, (None, ""): 2, (5, ""): 2}
+
+
 def test_bitmaps_never_differ_more_than_sets():
     rng = np.random.default_rng(3)
     for _ in range(200):
