@@ -1,11 +1,13 @@
 """Secret scans by assignment-aware lexing.
 
-Base kinds are three fixed patterns. The method adds a lexer for source and configuration syntax: it reads a text
-as a sequence of ``name operator value`` pairs, keeps a table of constants (names bound to string literals, and
-names bound to such names), and gives every literal a score from how sensitive the names are that it reaches and
-from its own shape. A literal at or above the threshold is reported at its own place as kind ``lexed``, even when
-the sensitive name stands elsewhere (``K = "..."`` and later ``password = K``).
-
+Base kinds are three fixed patterns. The method adds a lexer for source and configuration syntax: lines that hold an
+assignment sign or an element are cut into names, operators, literals of all quotes (also triple, also joined) and
+marks; a reader of these tokens makes pairs of name and literal, binds names to the literals they stand for when they
+are assigned, and names that are used before they are assigned at the end. Each literal is scored by how sensitive the
+names are that reach it and by its own shape. A literal at or above the threshold is reported at its own place as kind
+``lexed``, even when the sensitive name stands elsewhere (``K = "..."`` and later ``password = K``).
+
+Each character is looked at a bounded number of times, whatever the text, so a line of a megabyte takes its share only.
 Spans are counted in code points, end exclusive. Defined cases: a null text is an empty one (no spans); repeated
 rows give repeated results; an empty table gives an empty result; only the identifier and text columns are read,
 so further columns may have any names and are not carried along.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,11 +33,24 @@ KINDS = ("assign", "access", "hex", "lexed")
 #: Without one of these in the lower-cased text, ASSIGN can't match.
 STEMS = ("passw", "secret", "token", "api")
 
-PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][\w.\-]*)["']?\]?\x20*(?::=|=>|==?|:)\x20*"""
-    r"""(?:[rbfuRBFU]{0,2}(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)')|(?P<bare>[^\s"',;(){}\[\]<>]+))""",
-    re.A,
-)
+#: A literal's mark that is not closed on its line gives an ``open`` token, which is cut again without that mark.
+TOKENS = r"""
+  (?P<space>[\x20\t\r]++)
+| (?P<triple>(?:\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}))
+| (?P<literal>%s)
+| <(?P<tag>[A-Za-z_][\w.:\-]*+)>(?P<text>[^<>\n]*+)</
+| (?P<word>[^\s"'`=:,;(){}\[\]<>+]++(?:'\w{1,2}+(?![\w']))*+)
+| (?P<sign>:=|=>|={1,3}|:)
+| (?P<plus>\+)
+| (?P<close>[\])"'])
+| (?P<line>\n)
+| (?P<other>.)
+"""
+QUOTED = {q: rf"{q}(?:[^{q}\\\n]|\\.)*+(?:{q}|(?P<open{i}>))" for i, q in enumerate("\"'`")}
+LEXERS: dict[str, re.Pattern] = {}
+ASSIGNING = re.compile(r"[=:]|</")
+#: What may stand before a literal's marks.
+PREFIXES = {a + b for a in ("", *"rbfuRBFU") for b in ("", *"rbfuRBFU")}
 IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*\Z", re.A)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: How much a part of a name says that its value is secret.
@@ -59,43 +75,135 @@ def literal_score(value: str) -> int:
     return (len(value) >= 12) + (len(value) >= 20) + (classes >= 2) + (classes >= 3) + (len(set(value)) >= 8) - 2 * (len(set(value)) < 5)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of every assignment on a line that has an assignment sign."""
-    found, at = [], 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for m in PAIR.finditer(line):
-                group = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-                found.append((m["name"], m[group], at + m.start(group), at + m.end(group), group != "bare"))
-        at += len(line) + 1
-    return found
+def lexer(marks: str) -> re.Pattern:
+    """The pattern of tokens whose literals are between these marks."""
+    if marks not in LEXERS:
+        LEXERS[marks] = re.compile(TOKENS % ("|".join(QUOTED[q] for q in marks) or "(?!)"), re.A | re.X)
+    return LEXERS[marks]
+
+
+def tokens(text: str, start: int, end: int, marks: str = "\"'`") -> Iterator[tuple[str, str, int, int]]:
+    """(kind, value, start, end) of the tokens of ``text[start:end]``, without space."""
+    for m in lexer(marks).finditer(text, start, end):
+        kind = m.lastgroup
+        if kind == "word":
+            yield kind, m[0], m.start(), m.end()
+        elif kind == "space":
+            continue
+        elif kind == "triple":
+            yield "literal", m[0][3:-3], m.start() + 3, m.end() - 3
+        elif kind == "text":
+            yield "tag", m["tag"], *m.span("tag")
+            yield "sign", "<", m.end("tag"), m.start("text")
+            yield "literal", m["text"].strip(), *m.span("text")
+            yield "line", "", m.end(), m.end()
+        elif kind == "literal":
+            if text[m.start()] == text[m.end() - 1] and m.end() - m.start() > 1 and not any(m[g] is not None for g in m.groupdict() if g.startswith("open")):
+                yield kind, m[0][1:-1], m.start() + 1, m.end() - 1
+            else:
+                yield "other", text[m.start()], m.start(), m.start() + 1
+                yield from tokens(text, m.start() + 1, m.end(), marks.replace(text[m.start()], ""))
+        else:
+            yield kind, m[0], m.start(), m.end()
+
+
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """What is worth cutting into tokens: lines that assign, or a whole text that has literals of several lines."""
+    if '"""' in text or "'''" in text:
+        yield 0, len(text)
+        return
+    at = 0
+    for m in ASSIGNING.finditer(text):
+        if m.start() < at:
+            continue
+        start = text.rfind("\n", at, m.start()) + 1 or at
+        at = text.find("\n", m.end())
+        at = len(text) if at < 0 else at
+        yield start, at
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """(name, value, start, end, quoted) of every assignment, literals that are joined by + or nothing being one."""
+    for start, end in runs(text):
+        name: str | None = None  # the name that was read last, if only closing marks have followed
+        target: str | None = None  # the name that a value is to go to
+        value: tuple[str, int, int, bool] | None = None
+        joins = False
+        for kind, token, s, e in tokens(text, start, end):
+            if target is not None and value is None and kind in ("literal", "word"):
+                if kind == "word" and token in PREFIXES:
+                    continue
+                value, joins = (token, s, e, kind == "literal"), kind == "literal"
+                name = token if IDENTIFIER.match(token) else None
+            elif value is not None and joins and kind == "literal":
+                value = (value[0] + token, value[1], e, True)
+                name = None
+            elif value is not None and joins and kind == "plus":
+                continue
+            elif kind == "sign" and value is not None and not value[3] and token.startswith("=") and target is not None:
+                value = None  # a type stood between name and value
+            else:
+                if value is not None:
+                    yield target, *value
+                    value = target = None
+                if kind == "sign":
+                    target, name = name, None
+                elif kind in ("word", "tag", "literal"):
+                    target, name = None, token if IDENTIFIER.match(token) else None
+                elif kind != "close":
+                    name = target = None
+        if value is not None:
+            yield target, *value
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that sensitive names reach, directly or through constants."""
-    constants: dict[str, tuple[str, int, int] | str] = {}
-    best: dict[tuple[int, int], int] = {}
+    bound: dict[str, tuple[str, int, int] | str] = {}  # a name to its literal, or to a name not yet assigned
+    reached: list[tuple[int, tuple[str, int, int] | str]] = []
     for name, value, start, end, quoted in pairs(text):
-        literal = (value, start, end)
-        if not quoted and IDENTIFIER.match(value) and value in constants:
-            source, seen = constants[value], {value}
-            # Followed to the end; a chain that leads back to itself ends where it meets a name again.
-            while isinstance(source, str) and source not in seen:
-                seen.add(source)
-                source = constants.get(source, "")
-            constants[name] = value
-            if not isinstance(source, tuple):
-                continue
-            literal = source
-        else:
-            constants[name] = literal
+        literal: tuple[str, int, int] | str = (value, start, end)
         sensitive = name_score(name)
+        if not quoted and IDENTIFIER.match(value):
+            if value in bound:
+                literal = bound[value]
+            elif sensitive >= 2:
+                reached.append((sensitive, value))
+                bound[name] = value
+            else:
+                bound[name] = value
+                continue
+        if name not in bound or bound[name] != value:
+            bound[name] = literal
         if sensitive >= 2:
-            score = sensitive + literal_score(literal[0])
-            best[literal[1:]] = max(best.get(literal[1:], 0), score)
+            reached.append((sensitive, literal))
+    ends: dict[str, tuple[str, int, int] | None] = {}
+    best: dict[tuple[int, int], int] = {}
+    for sensitive, literal in reached:
+        if isinstance(literal, str):
+            literal = followed(literal, bound, ends)
+            if literal is None:
+                continue
+        best[literal[1:]] = max(best.get(literal[1:], 0), sensitive + literal_score(literal[0]))
     return sorted(span for span, score in best.items() if score >= THRESHOLD)
 
 
+def followed(name: str, bound: dict[str, tuple[str, int, int] | str], ends: dict[str, tuple[str, int, int] | None]) -> tuple[str, int, int] | None:
+    """The literal at the end of a chain of names; none if it's never assigned or leads back to itself."""
+    chain, at = [], name
+    while at not in ends:
+        ends[at] = None  # met again, the chain is a loop
+        chain.append(at)
+        up = bound.get(at)
+        if isinstance(up, str):
+            at = up
+            continue
+        ends[at] = up
+    found = ends[at]
+    for n in chain:
+        ends[n] = found
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind's place in KINDS) of the three fixed patterns, in order."""
     found = [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
@@ -112,7 +220,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not text:
         return [], []
     base = base_spans(text)
-    if "=" not in text and ":" not in text:
+    if not ASSIGNING.search(text):
         return base, base
     more = [(s, e, 3) for s, e in lexed(text) if not any(b <= s and e <= f for b, f, _ in base)]
     return base, sorted(base + more, key=lambda s: (s[0], s[2]))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -161,3 +162,38 @@ def test_a_long_chain_of_names_is_followed():
     lines = ['k0 = "Zx9Qw8Er7Ty6"', *(f"k{i + 1} = k{i}" for i in range(40)), "password = k40"]
     assert [(s, e) for s, e in secrets.lexed("\n".join(lines))] == [(6, 18)]
     assert secrets.lexed("a = b\nb = a\nc = a\na = c\npassword = a") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('K = "Zx9Qw8Er7Ty6"; A = K; K = "hello-world-abc"; client_passphrase = A', ["Zx9Qw8Er7Ty6"]),
+        ('client_passphrase = K\nK = "Zx9Qw8Er7Ty6"', ["Zx9Qw8Er7Ty6"]),
+        ('auth_key = """Zx9Qw8Er7Ty6"""', ["Zx9Qw8Er7Ty6"]),
+        ("auth_key = '''Zx9\nQw8Er7Ty6'''", ["Zx9\nQw8Er7Ty6"]),
+        ("<db_passphrase>Zx9Qw8Er7Ty6</db_passphrase>", ["Zx9Qw8Er7Ty6"]),
+        ('signing_key = "Zx9Qw8" + "Er7Ty6aa"', ['Zx9Qw8" + "Er7Ty6aa']),
+        ('signing_key: str = "Zx9Qw8Er7Ty6aa"', ["Zx9Qw8Er7Ty6aa"]),
+        ("cfg['auth_credential'] = rb'Zx9Qw8Er7Ty6'", ["Zx9Qw8Er7Ty6"]),
+        ('{"credentials": "Zx9Qw8Er7Ty6", "x": 1}', ["Zx9Qw8Er7Ty6"]),
+        ("it's 5\" disk: don't  client_passphrase = 'Zx9Qw8Er7Ty6'", ["Zx9Qw8Er7Ty6"]),
+        ("client_passphrase = name\nother = 'Zx9Qw8Er7Ty6'", []),
+        ("client_passphrase = <your value>", []),
+    ],
+)
+def test_source_and_configuration_syntax(text, found):
+    assert [text[s:e] for s, e in secrets.lexed(text)] == found
+
+
+def test_long_chains_before_and_after_their_literal():
+    links = [f"c{i + 1} = c{i}" for i in range(100)]
+    for lines in (["c0 = 'Zx9Qw8Er7Ty6'", *links, "client_passphrase = c100"], ["client_passphrase = c100", *reversed(links), "c0 = 'Zx9Qw8Er7Ty6'"]):
+        text = "\n".join(lines)
+        assert [text[s:e] for s, e in secrets.lexed(text)] == ["Zx9Qw8Er7Ty6"]
+
+
+@pytest.mark.parametrize("text", ["x=" + "a" * 1_000_000, "a-" * 300_000 + "=b", 'x = "' + '\\"' * 300_000, "<a>" * 200_000 + "=", "x:" * 200_000, "'''" + "a:" * 200_000])
+def test_very_long_lines_take_their_share(text):
+    began = time.perf_counter()
+    secrets.scan(text)
+    assert time.perf_counter() - began < 5
