@@ -69,15 +69,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     named = targets.select(F.col("source").alias("_source"), "source_size", "target")
     # A row for each source, so small next to the documents; Spark broadcasts it when its written size is small.
     rows = queued.join(named, queued["source"].eqNullSafe(named["_source"])).drop("_source")
+    # A row's number keeps rows apart that are equal in everything; it's written with the places and stays what it is.
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rounds = F.when(F.col("target") > 0, F.least(F.floor(F.col("target") / F.col("source_size")) + 1, F.lit(max_repeats - 1))).otherwise(F.lit(0))
     places = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), rounds.cast("int"))))
     finish = F.when(F.col("target") > 0, (F.col("_round") * F.col("source_size") + F.col("queued")) / F.col("target")).otherwise(F.lit(0.0))
     places = materialize(places.withColumn("_finish", finish), "places")
-    ordered = ordered_sums(places, ["_finish", "source", "_round", "_key", "_id", "size", "text_key"], "size", None, "_total")
+    ordered = ordered_sums(places, ["_finish", "source", "_round", "_key", "_id", "size", "text_key", "queued", "_row"], "size", None, "_total")
     budget = F.lit(share) * F.lit(targets.agg(F.sum("source_size")).first()[0] or 0)
-    # A round only follows the one before it, so the rounds that a row is in are a number of copies. Rows equal in
-    # everything may have taken each other's places in some rounds; together they have the same copies.
-    same = ["_id", "source", "text_key", "size", "source_size", "target", "queued"]
+    # A round only follows the one before it, so the rounds that a row is in are a number of copies.
+    same = ["_row", "_id", "source", "text_key", "size", "source_size", "target"]
     taken = ordered.groupBy(*same).agg(F.sum((F.col("_total") <= budget).cast("int")).alias("copies"))
     return taken.select(F.col("_id").alias(id_col), "source", "text_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -85,14 +86,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``df`` as the mix takes it: each row as often as its copies say, none being left out.
 
-    Rows that repeat identifier, source and text can't be told apart; each is taken as often as the most taken one.
+    Rows that repeat identifier, source and text can't be told apart: together they are taken as often as the mix
+    takes them, each as often as the others or once more.
     """
     names = df.columns
     rows = df.toDF(*(f"_c{i}" for i in range(len(names))))
     place = {n: f"_c{i}" for i, n in enumerate(names)}
-    mixed = mix(df, id_col, text_col, source_col, **how).filter("copies > 0")
     keys = [F.col(id_col).alias("_k_id"), F.col("source").alias("_k_source"), F.col("text_key").alias("_k_text")]
-    copies = mixed.groupBy(*keys).agg(F.max("copies").alias("_copies"))
-    match = F.col(place[id_col]).eqNullSafe(F.col("_k_id")) & F.col(place[source_col]).eqNullSafe(F.col("_k_source")) & (F.xxhash64(place[text_col]) == F.col("_k_text"))
-    taken = rows.join(copies, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return taken.select(*(F.col(place[n]).alias(n) for n in names))
+    same = mix(df, id_col, text_col, source_col, **how).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_sum"))
+    same = materialize(same.filter("_sum > 0"), "copies").withColumn("_copies", F.floor(F.col("_sum") / F.col("_n")).cast("int")).withColumn("_over", F.pmod("_sum", "_n"))
+    match = F.col(place[id_col]).eqNullSafe(F.col("_k_id")) & F.col(place[source_col]).cast("string").eqNullSafe(F.col("_k_source")) & (F.xxhash64(place[text_col]) == F.col("_k_text"))
+    out = [F.col(place[n]).alias(n) for n in names]
+    repeated = lambda x: x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*out)
+    even = repeated(rows.join(same.filter("_over = 0"), match))
+    uneven = same.filter("_over > 0")
+    if uneven.isEmpty():
+        return even
+    # Which of the equal rows are taken once more is told by their places in one order, found without a task for each group.
+    group = F.xxhash64("_k_id", "_k_source", "_k_text").cast("string")
+    told = materialize(rows.join(uneven, match).withColumn("_group", group).withColumn("_row", F.monotonically_increasing_id()), "told")
+    ranks = ordered_sums(told.select("_group", "_row"), ["_group", "_row"], None, "_group", "_rank").select("_row", "_rank")
+    more = told.join(ranks, "_row").withColumn("_copies", F.col("_copies") + (F.col("_rank") <= F.col("_over")).cast("int")).filter("_copies > 0")
+    return even.unionByName(repeated(more))
