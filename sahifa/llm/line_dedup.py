@@ -5,19 +5,25 @@ space to count. Equal lines are one from the start. Two lines link when their se
 Jaccard similarity of PERCENT or more; the linked lines of the whole corpus make components, and of each component
 the occurrence in the smallest document, and there the first, stays. A line shorter than a shingle is a shingle.
 
-Signatures are minima of VALUES hashes over the same shingles. Bands of four values deal lines to buckets; a line is
-verified against the leader that it shares most buckets with: AGREE per cent of the values must be equal, and then the
-Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what other buckets hold is
-verified against other leaders. Then all pairs of different components that an open bucket has are taken, whatever its
-size; a few bits of each value rule out most of them where they meet, and large buckets are dealt to several tasks.
-
-Lines are told apart by 64-bit hashes. Defined cases: a null text has no lines; rows that repeat identifier and text
-are one document, so each keeps what the other keeps; null identifiers come first; documents without lines are in
-the result; an empty table gives an empty result; only the identifier and text columns are read.
+Signatures are VALUES minima over all shingles' hashes, each under another XOR mask; a value is equal in two lines
+with their Jaccard similarity as probability. Bands of five values deal lines to buckets. A bucket of two lines is a
+candidate pair; in larger ones a line is held against the leader that it shares most buckets with. AGREE values must be
+equal, and then the Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what
+others hold is held against another leader, and then all pairs of different components that an open bucket has are
+taken, whatever its size: each pair in the first bucket that it shares, and large buckets in several tasks.
+
+A pair of similarity 0.8, 0.85 or 0.9 is a candidate with probability 0.99, 0.998 or 0.9998; that is the banding's
+recall and the only way to lose a link. Lines are told apart by 64-bit hashes.
+
+Defined cases: a null text has no lines; rows that repeat identifier and text are one document, so each keeps what the
+other keeps; null identifiers come first; documents without lines are in the result; an empty table gives an empty
+result; only the identifier and text columns are read.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +34,26 @@ from sahifa.llm.union_find import components
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
 SHINGLES = "(?s)(?=(.{%d}))" % GRAM
-VALUES, AGREE = 16, 40
-#: Each band is four values; two bands share one at most (lines of the affine plane of order four).
-BANDS = [
-    (0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (12, 13, 14, 15), (0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15),
-    (0, 5, 10, 15), (1, 4, 11, 14), (2, 7, 8, 13), (3, 6, 9, 12), (0, 6, 11, 13), (1, 7, 10, 12), (2, 4, 9, 15), (3, 5, 8, 14),
-]
-#: Bits of each value that a bucket's rows carry, and that many ones at the places of the lowest.
-FEW, LOWEST = 4, 0x1111111111111111
+#: Signatures have SIDE times SIDE values, laid out as a square; a candidate's must agree in AGREE of them at least.
+SIDE = 5
+VALUES, AGREE = SIDE * SIDE, 14
+#: Masks differ in their first five bits, so that values of lines of many shingles are of different shingles.
+XORS = [((11 * k % 32) << 27 | (0x9E3779B1 * (k + 1)) % (1 << 27)) - (1 << 31) for k in range(VALUES)]
+#: Each band is SIDE values: the rows of the square, its columns and two kinds of diagonals. Two bands share one value at most.
+BANDS = [[SIDE * r + c for c in range(SIDE)] for r in range(SIDE)] + [[SIDE * r + (c + m * r) % SIDE for r in range(SIDE)] for m in range(3) for c in range(SIDE)]
+MASKS = [sum(1 << v for v in band) for band in BANDS]
+#: Bits of each value that a bucket's rows carry together, and that many ones at the places of the lowest.
+FEW = 2
+LOWEST = sum(1 << FEW * k for k in range(VALUES))
 #: Rows of a few numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows of a bucket that one task holds against the whole bucket, on average.
 SHARE = 1000
+#: Rounds against leaders before all pairs that are left are taken.
+ROUNDS = 2
+#: Lines in a bucket whose pairs are told by signatures, at most; in larger ones bitmaps of WORDS numbers of 64 bits do,
+#: and before these bitmaps of FOLDED, which are compared at less cost.
+SMALL, WORDS, FOLDED = 12, 32, 16
 
 
 def normal(line: Column) -> Column:
@@ -48,37 +62,51 @@ def normal(line: Column) -> Column:
 
 def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each line of each row: ``_id``, ``_text`` (hash of the text), ``at`` (its place), ``line``, ``h`` (null if blank)."""
-    lines = F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line")
-    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), lines).withColumn("line", normal(F.col("line")))
+    # The text's hash is taken before its lines are: after it, each line would ask for it.
+    texts = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
+    rows = texts.select("_id", "_text", F.posexplode_outer("lines").alias("at", "line")).withColumn("line", normal(F.col("line")))
     return rows.withColumn("h", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(``h``, ``sig``); equal lines have equal signatures, so occurrences are combined as they come."""
-    found = F.when(F.length("line") < GRAM, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)))
-    parts = rows.filter(F.col("h").isNotNull()).select("h", F.explode(found).alias("s")).select("h", F.xxhash64("s").alias("x"))
-    least = parts.groupBy("h").agg(*(F.min(F.hash(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(VALUES)))
+    """(``h``, ``sig``); equal lines have equal signatures, so occurrences are combined as they come.
+
+    A line is split into its characters once; a place in it then stands for the shingle that begins there.
+    """
+    chars = rows.filter(F.col("h").isNotNull()).select("h", F.split("line", "").alias("chars"))
+    places = chars.select("h", "chars", F.explode(F.sequence(F.lit(0), F.greatest(F.size("chars") - GRAM, F.lit(0)))).alias("i"))
+    parts = places.select("h", F.hash(*(F.get("chars", F.col("i") + j) for j in range(GRAM))).alias("x"))
+    least = parts.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(XORS)))
     return least.select("h", F.array(*(f"m{k}" for k in range(VALUES))).alias("sig"))
 
 
-def band_keys() -> list[Column]:
-    return [F.xxhash64(F.lit(j), *(F.get("sig", F.lit(v)) for v in band)) for j, band in enumerate(BANDS)]
+def bucket_rows(signed: DataFrame) -> DataFrame:
+    """(``h``, ``band``, ``bucket``): a row for each band of each line.
 
+    Bands are numbered first and looked up then: an array of all keys would be more code than the JVM compiles.
+    """
+    bands = F.array(*(F.array(*map(F.lit, band)) for band in BANDS))
+    numbered = signed.select("h", "sig", F.explode(F.sequence(F.lit(0), F.lit(len(BANDS) - 1))).alias("band"))
+    values = (F.get("sig", F.get(F.get(bands, F.col("band")), F.lit(k))) for k in range(SIDE))
+    return numbered.select("h", "band", F.xxhash64("band", *values).alias("bucket"))
 
-def bucket_rows(signed: DataFrame) -> DataFrame:
-    """(``bucket``, ``h``, ``few``): a row for each band of each line; ``few`` has FEW bits of each value."""
-    few = F.lit(0).cast("bigint")
-    for k in range(VALUES):
-        few = few.bitwiseOR(F.shiftleft(F.get("sig", F.lit(k)).bitwiseAND((1 << FEW) - 1).cast("bigint"), FEW * k))
-    return signed.select("h", few.alias("few"), F.explode(F.array(*band_keys())).alias("bucket")).select("bucket", "h", "few")
+
+def few_bits(sig: str) -> Column:
+    """FEW bits of each value of a signature, as one number."""
+    return F.aggregate(sig, F.lit(0).cast("bigint"), lambda total, v: F.shiftleft(total, FEW).bitwiseOR(v.bitwiseAND((1 << FEW) - 1).cast("bigint")))
 
 
 def few_agree(a: str, b: str) -> Column:
-    """Whether AGREE per cent of the values can be equal, by the bits of ``few``."""
+    """Whether AGREE values can be equal, by the bits of ``few``."""
     x = F.col(a).bitwiseXOR(F.col(b))
-    for step in (2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-    return (VALUES - F.bit_count(x.bitwiseAND(F.lit(LOWEST)))) * 100 >= AGREE * VALUES
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    return VALUES - F.bit_count(x.bitwiseAND(F.lit(LOWEST))) >= AGREE
+
+
+def equal_values(a: str, b: str) -> Column:
+    """Which values of two signatures are equal, as bits."""
+    bits = F.zip_with(F.zip_with(a, b, lambda x, y: x == y), F.array(*(F.lit(1 << k) for k in range(VALUES))), lambda same, bit: F.when(same, bit).otherwise(0))
+    return F.aggregate(bits, F.lit(0), lambda total, bit: total.bitwiseOR(bit))
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -92,25 +120,47 @@ def grams(line: str) -> Column:
     return F.array_distinct(F.transform(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found), lambda g: F.xxhash64(g)))
 
 
-def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of which AGREE per cent of the signatures' values are equal; lines aren't read for that."""
-    led = texts.select(F.col("h").alias("leader"), F.col("sig").alias("leader_sig"))
-    # Each value counts for or against, so that the sum is 0 at AGREE per cent.
-    points = F.zip_with("sig", "leader_sig", lambda a, b: F.when(a == b, 100 - AGREE).otherwise(-AGREE))
-    both = bounded(materialize(pairs, "tried")).join(texts.select("h", "sig"), "h").join(led, "leader")
-    return materialize(both.filter(F.aggregate(points, F.lit(0), lambda total, p: total + p) >= 0).select("h", "leader"), "agreeing")
+def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The (``h``, ``leader``) pairs (written) whose signatures agree in AGREE values; lines aren't read for that."""
+    led = signed.select(F.col("h").alias("leader"), F.col("sig").alias("leader_sig"))
+    both = bounded(pairs).join(signed, "h").join(among(led, pairs, "leader"), "leader")
+    return materialize(both.filter(F.bit_count(equal_values("sig", "leader_sig")) >= AGREE).select("h", "leader"), "agreeing")
+
+
+def among(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """``rows`` of which ``pairs`` has the key, if these are few: what is to be shuffled is less then."""
+    return rows.join(F.broadcast(pairs.select(key).distinct()), key, "left_semi") if pairs.count() <= BROADCAST_ROWS else rows
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (``h``, ``leader``) pairs whose lines are similar. ``texts`` has ``h``, ``line`` and ``sig``."""
-    lines = texts.select("h", "line")
-    both = agreeing(pairs, texts).join(lines, "h").join(lines.select(F.col("h").alias("leader"), F.col("line").alias("leader_line")), "leader")
+    """The (``h``, ``leader``) pairs (written) whose lines are similar. ``texts`` has ``h`` and ``line``."""
+    both = bounded(pairs).join(texts, "h").join(among(texts.select(F.col("h").alias("leader"), F.col("line").alias("leader_line")), pairs, "leader"), "leader")
     sets = once(once(both, "x", grams("line")).drop("line"), "y", grams("leader_line")).drop("leader_line")
     shared = F.size(F.array_intersect("x", "y"))
     similar = sets.filter((100 + PERCENT) * shared >= PERCENT * (F.size("x") + F.size("y")))
     return materialize(similar.select("h", "leader"), "similar")
 
 
+def presence(texts: DataFrame) -> DataFrame:
+    """(``h``, ``n``, ``bits``, ``b0``, ...): the number of different shingles, which cells they hash to, and that folded."""
+    cells = texts.select("h", F.explode(grams("line")).alias("x")).select("h", F.shiftrightunsigned("x", 6).bitwiseAND(WORDS - 1).alias("word"), F.expr("shiftleft(1L, int(x & 63))").alias("bit"))
+    held = cells.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(0)).alias(f"w{k}") for k in range(WORDS)))
+    folded = (functools.reduce(lambda x, y: x.bitwiseOR(y), (F.col(f"w{k}") for k in range(j, WORDS, FOLDED))).alias(f"b{j}") for j in range(FOLDED))
+    return held.select("h", "n", F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"), *folded)
+
+
+def bits_allow() -> Column:
+    """Whether two bitmaps differ in no more cells than similar lines' shingles can: first folded, then whole."""
+    most = (F.col("n") + F.col("leader_n")) * (100 - PERCENT)
+    folded = sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"leader_b{k}"))) for k in range(FOLDED))
+    whole = F.aggregate(F.zip_with("bits", "leader_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, c: total + c)
+    return (folded * (100 + PERCENT) <= most) & (whole * (100 + PERCENT) <= most)
+
+
+def named_leader(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias("leader" if c == "h" else f"leader_{c}") for c in rows.columns))
+
+
 def best_leaders(rows: DataFrame) -> DataFrame:
     """For each line the leader of most of its buckets."""
     counted = rows.filter("h <> leader").groupBy("h", "leader").agg(F.count(F.lit(1)).alias("c"))
@@ -122,43 +172,71 @@ def open_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links, "h", "leader").withColumnRenamed("node", "h")
     rows = materialize(rows.join(bounded(found), "h", "left").withColumn("component", F.coalesce("component", "h")), "labelled")
     several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    return materialize(rows.join(several, "bucket"), "open")
-
-
-def all_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of lines in different components that an open bucket has, without those that ``few`` rules out."""
-    sizes = materialize(rows.groupBy("bucket").agg((F.floor(F.count(F.lit(1)) / SHARE) + 1).cast("int").alias("parts")).filter("parts > 1"), "sizes")
-    # Each row meets the whole bucket: on one side it's in one part, on the other in each.
-    rows = rows.join(bounded(sizes), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    x = rows.select("bucket", "h", "component", "few", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"))
-    y = rows.select(
-        F.col("bucket").alias("leader_bucket"), F.col("h").alias("leader"), F.col("component").alias("leader_component"), F.col("few").alias("leader_few"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("leader_part"),
-    )
-    same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("part") == F.col("leader_part"))
-    met = x.join(y, same & (F.col("h") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & few_agree("few", "leader_few"))
-    return met.select("h", "leader").distinct()
+    return materialize(rows.join(bounded(materialize(several, "several")), "bucket"), "open")
+
+
+def other_leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """(``h``, ``leader``): lines outside their bucket's largest component, with a line of that; another in each turn."""
+    lead = F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("k"), "h")).alias("lead")
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), lead)
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component", "lead")).alias("top"))
+    led = rows.select("bucket", "h", "component").join(top.select("bucket", F.col("top.component").alias("_top"), F.col("top.lead.h").alias("leader")), "bucket")
+    return materialize(led.filter("component <> _top").select("h", "leader").distinct(), "tried")
+
+
+def in_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice, so that each meets its whole bucket: on one side it's in one part, on the other in each."""
+    sizes = rows.groupBy("bucket").agg((F.floor(F.count(F.lit(1)) / SHARE) + 1).cast("int").alias("parts")).filter("parts > 1")
+    rows = rows.join(bounded(materialize(sizes, "sizes")), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).drop("parts")
+    return x, named_leader(rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+
+
+def all_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every pair of lines in different components that an open bucket has and that can be similar.
+
+    In small buckets these are the pairs whose signatures agree, each taken from the first band that it shares only: if
+    that band's bucket isn't open, its lines hang together or it has these two alone, which were tried at the start. In
+    large buckets bitmaps rule out what isn't nearly similar in the join itself.
+    """
+    few = signed.withColumn("few", few_bits("sig"))
+    apart = (F.col("h") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & few_agree("few", "leader_few")
+    small = materialize(bounded(rows.filter(F.col("c") <= SMALL).select("bucket", "band", "h", "component")).join(few, "h"), "small")
+    before = F.slice(F.array(*map(F.lit, MASKS)), F.lit(1), F.col("band"))
+    # The equal values are an array's one element, so that they are found once for both tests.
+    first = F.exists(F.array(equal_values("sig", "leader_sig")), lambda e: (F.bit_count(e) >= AGREE) & ~F.exists(before, lambda m: e.bitwiseAND(m) == m))
+    pairs = small.join(named_leader(small.drop("band")), (F.col("bucket") == F.col("leader_bucket")) & apart & first).select("h", "leader")
+
+    large = materialize(rows.filter(F.col("c") > SMALL).select("bucket", "h", "component"), "large")
+    ids = materialize(large.select("h").distinct(), "ids")
+    held = presence(texts.join(bounded(ids), "h", "left_semi")).join(few.select("h", "few"), "h")
+    x, y = in_parts(materialize(bounded(large).join(held, "h"), "marked"))
+    more = x.join(y, (F.col("bucket") == F.col("leader_bucket")) & (F.col("part") == F.col("leader_part")) & apart & bits_allow()).select("h", "leader")
+    return materialize(pairs.unionByName(more).distinct(), "pairs")
 
 
 def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``h``, ``leader``): links that hold each component of similar lines together."""
     rows = occurrences(df, id_col, text_col)
     signed = materialize(signatures(rows), "signatures")
-    keys = signed.select("h", F.explode(F.array(*band_keys())).alias("bucket"))
-    shared = materialize(keys.groupBy("bucket").agg(F.min("h").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "buckets")
-    members = materialize(bucket_rows(signed).join(bounded(shared), "bucket"), "members")
-    wanted = materialize(members.select("h").distinct(), "wanted")
+    keys = bucket_rows(signed)
+    found = keys.groupBy("bucket").agg(F.min("h").alias("leader"), F.max("h").alias("last"), F.count(F.lit(1)).alias("c")).filter("leader < last")
+    shared = materialize(found, "buckets")
+    # A bucket of two is a pair; of larger ones the rows are needed.
+    twos = shared.filter("c = 2").select(F.col("last").alias("h"), "leader").distinct()
+    members = materialize(keys.join(bounded(shared.filter("c > 2").select("bucket", "leader", "c")), "bucket"), "members")
+    tried = materialize(twos.unionByName(best_leaders(members)), "tried")
+    wanted = materialize(tried.select(F.explode(F.array("h", "leader")).alias("h")).unionByName(members.select("h")).distinct(), "wanted")
     # Occurrences are combined before they are shuffled; with the line as a key that takes no sort.
-    found = rows.select("h", "line").join(bounded(wanted), "h", "left_semi").groupBy("h", "line").agg(F.count(F.lit(1)).alias("c"))
-    texts = materialize(found.drop("c").join(signed, "h"), "lines")
-    links = verified(best_leaders(members), texts)
+    lines = rows.select("h", "line").join(bounded(wanted), "h", "left_semi").groupBy("h", "line").agg(F.count(F.lit(1)).alias("c"))
+    texts = materialize(lines.drop("c"), "lines")
 
+    links = verified(agreeing(tried, signed), texts)
     left = open_rows(members.drop("leader"), links)
-    lead = left.groupBy("bucket").agg(F.max(F.struct("component", "h")).alias("top")).select("bucket", F.col("top.component").alias("_top"), F.col("top.h").alias("leader"))
-    links = links.unionByName(verified(best_leaders(left.join(lead, "bucket").filter("component <> _top")), texts))
-
-    left = open_rows(left.drop("component"), links)
-    return links.unionByName(verified(all_pairs(left), texts))
+    for turn in range(ROUNDS - 1):
+        links = links.unionByName(verified(agreeing(other_leaders(left, turn), signed), texts))
+        left = open_rows(left.drop("component"), links)
+    return links.unionByName(verified(all_pairs(left, signed, texts), texts))
 
 
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,8 +244,10 @@ def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = materialize(components(line_links(df, id_col, text_col), "h", "leader"), "components").withColumnRenamed("node", "h")
     rows = occurrences(df, id_col, text_col).select("_id", "_text", "at", "h").join(bounded(found), "h", "left")
     rows = materialize(rows.select("_id", "_text", "at", F.coalesce("component", "h").alias("component")), "occurrences")
-    owner = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("_id", "_text", "at")).alias("owner"))
-    judged = rows.join(owner, "component", "left").withColumn("stays", F.struct("_id", "_text", "at").eqNullSafe(F.col("owner")))
+    # Most lines are the only ones of their component; an owner is needed of the others.
+    owner = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("_id", "_text", "at")).alias("owner"), F.count(F.lit(1)).alias("c"))
+    owner = materialize(owner.filter("c > 1").drop("c"), "owners")
+    judged = rows.join(bounded(owner), "component", "left").withColumn("stays", F.col("owner").isNull() | F.struct("_id", "_text", "at").eqNullSafe(F.col("owner")))
     has_line = F.col("component").isNotNull()
     # Rows that repeat identifier and text come together here, so a place counts once.
     places = judged.groupBy("_id", "_text").agg(

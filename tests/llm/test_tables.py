@@ -159,6 +159,35 @@ def similar_lines(lines):
     return [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 100 * len(x & y) >= 80 * len(x | y)]
 
 
+def test_chains_and_short_lines_are_merged(spark):
+    """Families whose lines change step by step, so that most are similar to some of the family only, and six-word lines."""
+    rng, lines = random.Random(17), []
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for _ in range(12):
+        now = [letters(6) for _ in range(30)]
+        for _ in range(40):
+            now = [letters(6) if k == rng.randrange(30) else w for k, w in enumerate(now)]
+            lines.append(" ".join(now))
+    for _ in range(150):
+        short = [letters(rng.choice((4, 5, 6, 7))) for _ in range(6)]
+        lines += [" ".join(short), " ".join(short)[:-1] + "q", "z" + " ".join(short)]
+    lines = sorted(set(lines))
+    possible = len(lines) - len(set(connected(lines, similar_lines(lines)).values()))
+    made = len(lines) - lines_kept(spark, lines)
+    assert 0.97 * possible <= made <= possible
+
+
+def test_large_buckets_lose_nothing(spark, monkeypatch):
+    """Bitmaps decide where a bucket is not small; here every bucket is large."""
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    monkeypatch.setattr(line_dedup, "SHARE", 7)
+    rng = random.Random(18)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    lines = sorted({" ".join(w if rng.random() > 0.05 else f"x{i}{k}" for k, w in enumerate(base)) for i in range(150)})
+    possible = len(lines) - len(set(connected(lines, similar_lines(lines)).values()))
+    assert 0.97 * possible <= len(lines) - lines_kept(spark, lines) <= possible
+
+
 def lines_kept(spark, lines):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     return sum(r["n_kept"] for r in line_dedup.line_verdicts(df).collect())
@@ -267,7 +296,7 @@ def test_archives_round_trip(spark):
 def test_mix_shares_and_limits(documents, clashing, no_documents):
     for df in (documents, clashing):
         rows = mixing.mix(df).collect()
-        assert len(rows) <= df.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
+        assert len(rows) == df.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
         size, taken, target, most = (collections.Counter() for _ in range(4))
         for r in rows:
             size[r["source"]] += r["size"]
@@ -280,6 +309,21 @@ def test_mix_shares_and_limits(documents, clashing, no_documents):
     assert mixing.mix(no_documents).count() == 0
     applied = mixing.apply_mix(documents)
     assert applied.columns == documents.columns
+    words = lambda t: len((t or "").encode().split())
+    assert sum(words(r["text"]) for r in applied.select("text").collect()) == sum(r["taken"] for r in mixing.mix(documents).collect())
+
+
+def test_mix_keeps_rows_that_repeat_apart(spark):
+    """Null and empty texts and whole rows that repeat: one result each, and none taken more than three times."""
+    rows = [(1, "a b c", "x")] * 5 + [(None, None, "x")] * 3 + [(2, "", None)] * 4 + [(3, "d e", None), (4, " ".join(["w"] * 60), "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df).collect()
+    expected = collections.Counter((i, len((t or "").split()), s) for i, t, s in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["source"]) for r in mixed) == expected and all(0 <= r["copies"] <= 3 for r in mixed)
+    copies, applied = collections.Counter(), collections.Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.apply_mix(df).collect())
+    for r in mixed:
+        copies[r["doc_id"], r["size"]] += r["copies"]
+    assert {(i, len((t or "").split())): n for (i, t, _), n in applied.items()} == {k: n for k, n in copies.items() if n}
 
 
 def test_targets_stop_and_reshare(spark):
