@@ -1,20 +1,21 @@
 """Documents whose word shingles have a Jaccard similarity of 0.8 or more, by prefixes under several orders.
 
 If two sets of shingles are that similar, then under *any* total order of all shingles their first fifths share one.
-Candidates come from the first order, which puts rare shingles first: its prefixes go to lists by shingle. They are
-then held against further orders, by hashes of the shingles, and only pairs whose prefixes meet under every order are
-verified on the whole sets. How rare a shingle is, is told by counts over all documents, hashed to a table of fixed
-size; a wrong count costs time and never a link.
+Lists are of the first order, which puts rare shingles first: a set is in the lists of its prefix. Two sets that a list
+brings together are a candidate if their prefixes under two further orders share shingles too; these prefixes are kept
+as hashes beside the set and intersected before any text is read. How rare a shingle is, is told by counts over all
+documents, hashed to a table of fixed size; a wrong count costs time and never a link.
 
 The result is each document's component, so a large group of near copies needs its links only until it hangs
-together. Sets that are equal are one node from the start. Then, in rounds, each node is verified against the node
-that leads most of its lists; lists whose nodes hang together go; and when few pairs are left, or rounds find little
-more, *all* pairs of different components that a list has are taken. Of these a bitmap of each set, of the parity of
-its shingles by cell, already rules out most that aren't similar: where two bitmaps differ, so do the sets. What is
-left is verified. No list, pair or text is left out for its size.
+together. Sets that are equal are one node from the start. Then, in rounds, each node is verified against a node that
+leads most of its lists; lists whose nodes hang together go; and when few pairs are left, or rounds find little more,
+*all* pairs of different components that a list has are taken, each in the first list that has it. Of these a bitmap
+of each set, of the parity of its shingles by cell, already rules out most that aren't similar: where two bitmaps
+differ, so do the sets. What is left is verified. No list, pair or text is left out for its size.
 
 Lists of very many nodes are cut into parts by node, each with a leader, and keep all their rows; a leader of very
-many nodes is given copies, each of which verifies some of them.
+many nodes is given copies, each of which verifies some of them. Shingles and sets are told apart by hashes of 64 and
+128 bits. Identifiers are integers.
 
 Defined cases: a null text, or one without words, has no shingles and is a component of its own; a text of fewer
 words than a shingle is one shingle; rows that repeat an identifier are one document that has all their texts, and
@@ -24,6 +25,7 @@ any has an identifier; an empty table gives an empty result; only the identifier
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -45,10 +47,15 @@ SKETCH_BITS, CHUNK = 22, 1 << 14
 PART, SHARE = 20_000, 400
 #: Rounds of leaders before all pairs that are left are taken; or when these are at most FEW times the list rows, or
 #: when a round has linked less than YIELD of what it verified.
-ROUNDS, FEW, YIELD = 4, 4, 0.3
+ROUNDS, FEW, YIELD = 2, 1, 0.3
+#: Earlier lists of a node that each list row names, so that a pair is taken in its first list and in few others.
+EARLIER = 3
+#: Rows of a list that one task holds against the whole list, on average.
+ROWS = 1000
 #: Cells of a bitmap for each shingle of the set, at least; their number is a power of two, and MIN_CELLS at least.
 CELLS, MIN_CELLS = 1, 512
-#: Rows of (node, leader) that are broadcast at most, 24 bytes each; more are joined by a shuffle.
+#: Rows of a few numbers, 24 bytes or so each, that are broadcast at most; more are joined by a shuffle, and bitmaps and
+#: prefixes always are, unless Spark finds that what there is of them is small.
 BROADCAST_ROWS = 300_000
 #: Orders besides the first, as what a shingle's hash is multiplied by.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -143,13 +150,14 @@ def count_sketch(df: DataFrame, text_col: str) -> np.ndarray:
 
 
 def shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: ``_id``, ``n``, ``key`` (of the whole set; null if empty), ``bits``, and its prefix, rare first."""
+    """One row per input row: ``_id``, ``n``, ``key`` (of the whole set; null if empty), ``bits``, its prefix, rare first, and
+    ``orders``: hashes of its prefixes under the further orders."""
     spread = df.sparkSession.sparkContext.broadcast(count_sketch(df, text_col))
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batch):
         classes = spread.value
-        out = {"_id": batch.column(0), "n": [], "key": [], "bits": [], "prefix": [], "parts": []}
+        out = {"_id": batch.column(0), "n": [], "key": [], "bits": [], "prefix": [], "parts": [], "orders": []}
         for text in batch.column(1).to_pylist():
             found = np.unique(all_shingles(text))
             n = len(found)
@@ -164,12 +172,15 @@ def shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             first = first[np.argsort(rank[first], kind="stable")]
             out["prefix"].append(found[first].view(np.int64))
             out["parts"].append((np.exp2(kind[first] / 8.0) / PART).astype(np.int32) + 1)
+            further = (np.argpartition(found * np.uint64(order), p - 1)[:p] if p else [] for order in ORDERS)
+            out["orders"].append([found[at].astype(np.uint32).view(np.int32) if p else [] for at in further])
         return out
 
     schema = T.StructType(
         [
             field(df, id_col, "_id"), T.StructField("n", T.IntegerType()), T.StructField("key", T.BinaryType()),
             T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parts", T.ArrayType(T.IntegerType())),
+            T.StructField("orders", T.ArrayType(T.ArrayType(T.IntegerType()))),
         ]
     )
     return materialize(map_slices(df.select(id_col, text_col), run, schema), "shingled")
@@ -252,16 +263,9 @@ def best_leaders(rows: DataFrame) -> DataFrame:
 
 
 def meet(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets are similar: first by prefixes under the further orders, then whole."""
+    """Whether two sorted sets are similar."""
     if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
         return False
-    for order in ORDERS:
-        firsts = []
-        for s in (x, y):
-            rank, p = s * np.uint64(order), prefix_length(len(s))
-            firsts.append(np.partition(rank, p - 1)[:p])
-        if not np.isin(firsts[0], firsts[1]).any():
-            return False
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
@@ -345,34 +349,54 @@ def asked():
     return F.ceil((F.col("n") + F.col("leader_n")) * PERCENT / (100.0 + PERCENT) - 1e-9)
 
 
-def viable(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The (node, leader) pairs that sizes and bitmaps allow. ``bits`` has ``node``, ``n`` and ``bits``."""
-    led = bits.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("bits").alias("leader_bits"))
-    # The bitmaps of all nodes stay where they are: the pairs go to them, unless there are very many.
+def orders_allow():
+    """Whether two sets' prefixes under each further order share a shingle."""
+    shared = (F.arrays_overlap(F.get("orders", F.lit(k)), F.get("leader_orders", F.lit(k))) for k in range(len(ORDERS)))
+    return functools.reduce(lambda a, b: a & b, shared)
+
+
+def viable(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (node, leader) pairs that sizes, bitmaps and the further orders allow. ``sets`` has ``node``, ``n``, ``bits``, ``orders``."""
+    led = sets.select(*(F.col(c).alias("leader" if c == "node" else f"leader_{c}") for c in sets.columns))
+    # The pairs go to the sets, unless there are very many; what is shuffled then is of these pairs only.
     pairs = materialize(pairs, "tried")
-    send = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda x: x)
-    both = led.join(send(bits.join(send(pairs), "node")), "leader").filter(near_in_size("n", "leader_n"))
-    return materialize(both.filter(bits_allow()).select("node", "leader").distinct(), "viable")
+    few = pairs.count() <= BROADCAST_ROWS
+    mine = sets.join(F.broadcast(pairs) if few else pairs, "node")
+    led = led.join(F.broadcast(pairs.select("leader").distinct()), "leader", "left_semi") if few else led
+    both = mine.join(led, "leader").filter(near_in_size("n", "leader_n"))
+    return materialize(both.filter(bits_allow()).filter(orders_allow()).select("node", "leader").distinct(), "viable")
 
 
-def all_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
+def all_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Every pair of nodes in different components that a list has and that sizes, places and bitmaps allow.
 
+    A pair is taken in the first list that has it: rows name the last lists before theirs that their node is in, and
+    where two rows name the same one the pair has been met. What is met again further on is the same pair.
+
     In the join itself the bitmaps are those folded to MIN_CELLS cells, as columns, which rule out most pairs of sets
     of up to about as many shingles; pairs of larger sets meet their whole bitmaps after it.
     """
     columns = range(MIN_CELLS // 64)
     place = lambda k: F.aggregate(F.filter("bits", lambda x, i: F.pmod(i, F.lit(len(columns))) == k), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-    mine = bits.join(bounded(materialize(rows.select("node").distinct(), "nodes")), "node", "left_semi").select("node", *(place(k).alias(f"b{k}") for k in columns))
-    rows = materialize(rows.join(bounded(materialize(mine, "bits")), "node"), "marked")
-    x = rows.select(*(F.col(c).alias(f"leader_{c}") for c in ("token", "n", "at", "component", *(f"b{k}" for k in columns))), F.col("node").alias("leader"))
+    mine = sets.join(bounded(materialize(rows.select("node").distinct(), "nodes")), "node", "left_semi").select("node", *(place(k).alias(f"b{k}") for k in columns))
+    before = Window.partitionBy("node").orderBy("at", "token")
+    rows = rows.select("*", *(F.lag("token", k + 1).over(before).alias(f"e{k}") for k in range(EARLIER))).join(bounded(materialize(mine, "bits")), "node")
+    sizes = rows.groupBy("token").agg((F.floor(F.count(F.lit(1)) / ROWS) + 1).cast("int").alias("parts")).filter("parts > 1")
+    rows = materialize(rows, "marked")
+    rows = rows.join(bounded(materialize(sizes, "sizes")), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # Each row meets its whole list: on one side it's in one part, on the other in each. What no row names is 0 or 1.
+    earlier = [f"e{k}" for k in range(EARLIER)]
+    x = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").fillna(0, earlier)
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").fillna(1, earlier)
+    y = y.select(*(F.col(c).alias("leader" if c == "node" else f"leader_{c}") for c in y.columns))
     # At the first shingle that two prefixes share, what follows must hold the overlap that their sizes ask for.
     most = F.least(F.col("n") - F.col("at"), F.col("leader_n") - F.col("leader_at"))
     open_pair = (F.col("node") < F.col("leader")) & (F.col("component") != F.col("leader_component"))
+    met = functools.reduce(lambda a, b: a | b, (F.col(e) == F.col(f"leader_{d}") for e in earlier for d in earlier))
     differ = sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"leader_b{k}"))) for k in columns)
-    match = (F.col("token") == F.col("leader_token")) & open_pair & near_in_size("n", "leader_n") & (most >= asked()) & (differ <= F.col("n") + F.col("leader_n") - 2 * asked())
-    pairs = materialize(rows.join(x, match).select("node", "leader").distinct(), "pairs")
-    return viable(pairs, bits)
+    same = (F.col("token") == F.col("leader_token")) & (F.col("part") == F.col("leader_part"))
+    match = same & open_pair & near_in_size("n", "leader_n") & (most >= asked()) & ~met & (differ <= F.col("n") + F.col("leader_n") - 2 * asked())
+    return viable(x.join(y, match).select("node", "leader").distinct(), sets)
 
 
 def row_components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -383,21 +407,21 @@ def row_components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # A set that only one row has is its row's; of others, the rows of the smallest identifier stand for all.
     named = rows.join(bounded(several), "key", "left").withColumn("node", F.coalesce("node", "_id"))
     nodes = named.filter((F.col("node") == F.col("_id")) & F.col("key").isNotNull())
-    lists, bits = shared_lists(nodes.select("node", "n", "prefix", "parts")), nodes.select("node", "n", "bits")
+    lists, sets = shared_lists(nodes.select("node", "n", "prefix", "parts")), nodes.select("node", "n", "bits", "orders")
     texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
 
-    links = verified(viable(best_leaders(lists), bits), texts)
+    links = verified(viable(best_leaders(lists), sets), texts)
     left = labelled(lists.drop("leader", "leader_n"), links)
     for turn in range(ROUNDS - 1):
         if pairs_left(left) <= FEW * left.count():
             break
-        tried = viable(best_leaders(next_leaders(left, turn + 3)), bits)
+        tried = viable(best_leaders(next_leaders(left, turn)), sets)
         more = verified(tried, texts)
         links = links.unionByName(more)
         left = labelled(left.drop("component"), links)
         if more.count() <= YIELD * tried.count():
             break
-    links = links.unionByName(verified(all_pairs(left, bits), texts))
+    links = links.unionByName(verified(all_pairs(left, sets), texts))
 
     found = components(links, "node", "leader").withColumnRenamed("node", "_node")
     out = rows.select("_id", "n", "key").join(bounded(several), "key", "left").withColumn("node", F.coalesce("node", "_id"))

@@ -104,6 +104,23 @@ def test_lists_in_parts_lose_no_link(spark, monkeypatch):
     assert got == of and len(set(of.values())) < len(of)
 
 
+def test_all_pairs_of_a_hot_list_lose_no_link(spark, monkeypatch):
+    """No round of leaders but the first; lists are dealt to many tasks and pairs taken in the first list that has them."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "ROWS", 3)
+    monkeypatch.setattr(ngram_join, "PART", 1)
+    rng, texts = random.Random(22), []
+    passage = [f"p{k}" for k in range(60)]
+    for g in range(50):
+        base = passage + [f"g{g}_{k}" for k in range(rng.choice((0, 8, 12, 20)))]
+        texts += [" ".join(w if rng.random() > 0.015 else f"x{len(texts)}_{i}_{k}" for k, w in enumerate(base)) for i in range(3)]
+    rows = list(enumerate(texts))
+    sets = [(i, shingles(t)) for i, t in rows]
+    of = connected(range(len(rows)), [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 100 * len(x & y) >= 80 * len(x | y)])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == of and 1 < len(set(of.values())) < len(of)
+
+
 def test_one_row_of_equal_sets_stays(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
     rows = [(1, a), (1, a), (1, a.upper()), (None, a), (None, a), (None, b), (None, b), (2, c), (3, c), (4, c), (4, d), (None, None), (None, None), (5, ""), (5, "")]
