@@ -288,7 +288,8 @@ def test_ordered_sums(spark):
 def test_arc_records(version):
     name, url, block = "x.arc", warc.escaped("http://a b/é\n%20"), b"HTTP/1.1 200 OK\r\n\r\nbody\n\nof lines"
     data = warc.arc_begin(version, name) + warc.arc_record(version, name, 0, url, block) + warc.arc_record(version, name, 9, url, b"")
-    (head, first), (_, second) = warc.arc_records(data)
+    (at, head, first), (_, _, second) = warc.arc_records(data)
+    assert data[at:].startswith(url.encode())
     assert first == block and second == b"" and warc.unescaped(head[0]) == "http://a b/é\n%20" and len(head) == (5 if version == 1 else 10)
     with pytest.raises(ValueError, match="version block"):
         list(warc.arc_records(b"http://a 1 2 3 4\n"))
@@ -310,6 +311,31 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("most", [0, 100])
+def test_archives_of_other_makers(spark, tmp_path, monkeypatch, version, most):
+    """No page identifiers, a URL in Latin-1, records without an HTTP head, odd identifiers; revisits refer by record."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    rest = "" if version == 1 else "200 abc - 77 f.arc "
+    line = lambda url, date, kind, n: f"{url} 10.0.0.1 {date} {kind} {rest}{n}\n".encode("latin-1")
+    body, http = b"<p>" + b"same payload " * 20 + b"</p>", b"HTTP/1.0 200 OK\r\nServer: \xe9\r\n\r\n"
+    block = f"{version} 0 Other\n{warc.FIELDS[version]}\n\n".encode()
+    data = f"filedesc://f.arc 0.0.0.0 19990101000000 text/plain {'' if version == 1 else '200 - - 0 f.arc '}{len(block)}\n".encode() + block + b"\n"
+    records = [("http://a/\xe9", "19990103000000", http + body), ("http://b/", "19990102000000", http + body), ("dns:x", "19990104000000", b"10.0.0.1"), ("http://c/", "19990105000000", b"HTTP/1.0 200 OK\r\nX-Page-Id: none\r\n\r\n" + body)]
+    for url, date, content in records:
+        data += line(url, date, "text/html", len(content)) + content + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc").write_bytes(data)
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {r["url"]: r for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert len(got) == 4 and got["http://b/"]["record_type"] == "response" and got["dns:x"]["record_type"] == "resource"
+    first = got["http://b/"]["record_id"]
+    for url in ("http://a/\ufffd", "http://c/"):
+        r = got[url]
+        assert (r["record_type"], r["refers_to_id"], r["payload_bytes"], r["payload_digest"]) == ("revisit", first, len(body), hashlib.sha256(body).hexdigest())
+    assert all(r["page_id"] is None for r in got.values()) and got["http://b/"]["date"] == "1999-01-02T00:00:00Z"
+
+
 def test_mix_shares_and_limits(documents, clashing, no_documents):
     for df in (documents, clashing):
         rows = mixing.mix(df).collect()
