@@ -8,9 +8,10 @@ the occurrence in the smallest document, and there the first, stays. A line shor
 Signatures are VALUES minima over all shingles' hashes, each under another XOR mask; a value is equal in two lines
 with their Jaccard similarity as probability. Bands of five values deal lines to buckets. A bucket of two lines is a
 candidate pair; in larger ones a line is held against the leader that it shares most buckets with. AGREE values must be
-equal, and then the Jaccard similarity of all shingles is taken. Buckets whose lines hang together are done; what
-others hold is held against another leader, and then all pairs of different components that an open bucket has are
-taken, whatever its size: each pair in the first bucket that it shares, and large buckets in several tasks.
+equal, and then the Jaccard similarity of all shingles is taken. Large buckets whose lines hang together are done; what
+others hold is held against another leader. Then all pairs of different components that a bucket has are taken,
+whatever its size: each pair in the first bucket that it shares, and large buckets in several tasks and by bitmaps of
+their lines' shingles, which rule out what isn't nearly similar without a loss.
 
 A pair of similarity 0.8, 0.85 or 0.9 is a candidate with probability 0.99, 0.998 or 0.9998; that is the banding's
 recall and the only way to lose a link. Lines are told apart by 64-bit hashes.
@@ -53,7 +54,7 @@ SHARE = 1000
 ROUNDS = 2
 #: Lines in a bucket whose pairs are told by signatures, at most; in larger ones bitmaps of WORDS numbers of 64 bits do,
 #: and before these bitmaps of FOLDED, which are compared at less cost.
-SMALL, WORDS, FOLDED = 12, 32, 16
+SMALL, WORDS, FOLDED = 64, 32, 16
 
 
 def normal(line: Column) -> Column:
@@ -192,27 +193,38 @@ def in_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x, named_leader(rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
 
 
-def all_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every pair of lines in different components that an open bucket has and that can be similar.
+def first_agreeing() -> Column:
+    """Whether two signatures agree and the rows' band is the first that they share; then they meet once only.
 
-    In small buckets these are the pairs whose signatures agree, each taken from the first band that it shares only: if
-    that band's bucket isn't open, its lines hang together or it has these two alone, which were tried at the start. In
-    large buckets bitmaps rule out what isn't nearly similar in the join itself.
+    The equal values are an array's one element, so that they are found once for both tests.
     """
-    few = signed.withColumn("few", few_bits("sig"))
-    apart = (F.col("h") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & few_agree("few", "leader_few")
-    small = materialize(bounded(rows.filter(F.col("c") <= SMALL).select("bucket", "band", "h", "component")).join(few, "h"), "small")
     before = F.slice(F.array(*map(F.lit, MASKS)), F.lit(1), F.col("band"))
-    # The equal values are an array's one element, so that they are found once for both tests.
-    first = F.exists(F.array(equal_values("sig", "leader_sig")), lambda e: (F.bit_count(e) >= AGREE) & ~F.exists(before, lambda m: e.bitwiseAND(m) == m))
-    pairs = small.join(named_leader(small.drop("band")), (F.col("bucket") == F.col("leader_bucket")) & apart & first).select("h", "leader")
+    return F.exists(F.array(equal_values("sig", "leader_sig")), lambda e: (F.bit_count(e) >= AGREE) & ~F.exists(before, lambda m: e.bitwiseAND(m) == m))
+
+
+def small_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """All (``h``, ``leader``) pairs of small buckets whose signatures agree: a row meets SMALL others at most."""
+    marked = materialize(bounded(rows.select("bucket", "band", "h")).join(signed.withColumn("few", few_bits("sig")), "h"), "small")
+    same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("h") < F.col("leader")) & few_agree("few", "leader_few") & first_agreeing()
+    return materialize(marked.join(named_leader(marked.drop("band")), same).select("h", "leader"), "pairs")
+
+
+def large_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """All (``h``, ``leader``) pairs of different components of large buckets whose signatures agree and bitmaps allow."""
+    ids = materialize(rows.select("h").distinct(), "ids")
+    held = presence(texts.join(bounded(ids), "h", "left_semi")).join(bounded(ids).join(signed.withColumn("few", few_bits("sig")), "h"), "h")
+    x, y = in_parts(materialize(bounded(rows.select("bucket", "band", "h", "component")).join(held, "h"), "marked"))
+    same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("part") == F.col("leader_part"))
+    apart = (F.col("h") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & few_agree("few", "leader_few")
+    return materialize(x.join(y.drop("leader_band"), same & apart & bits_allow() & first_agreeing()).select("h", "leader"), "pairs")
+
 
-    large = materialize(rows.filter(F.col("c") > SMALL).select("bucket", "h", "component"), "large")
-    ids = materialize(large.select("h").distinct(), "ids")
-    held = presence(texts.join(bounded(ids), "h", "left_semi")).join(few.select("h", "few"), "h")
-    x, y = in_parts(materialize(bounded(large).join(held, "h"), "marked"))
-    more = x.join(y, (F.col("bucket") == F.col("leader_bucket")) & (F.col("part") == F.col("leader_part")) & apart & bits_allow()).select("h", "leader")
-    return materialize(pairs.unionByName(more).distinct(), "pairs")
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The (``h``, ``leader``) pairs that ``links`` don't hold together."""
+    found = bounded(components(links, "h", "leader"))
+    of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
+    both = pairs.join(of("h", "x"), "h", "left").join(of("leader", "y"), "leader", "left")
+    return materialize(both.filter(F.coalesce("x", "h") != F.coalesce("y", "leader")).select("h", "leader"), "apart")
 
 
 def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,18 +237,23 @@ def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # A bucket of two is a pair; of larger ones the rows are needed.
     twos = shared.filter("c = 2").select(F.col("last").alias("h"), "leader").distinct()
     members = materialize(keys.join(bounded(shared.filter("c > 2").select("bucket", "leader", "c")), "bucket"), "members")
-    tried = materialize(twos.unionByName(best_leaders(members)), "tried")
-    wanted = materialize(tried.select(F.explode(F.array("h", "leader")).alias("h")).unionByName(members.select("h")).distinct(), "wanted")
+    pairs = small_pairs(members.filter(F.col("c") <= SMALL), signed)
+    large = members.filter(F.col("c") > SMALL).drop("c")
+    tried = agreeing(materialize(twos.unionByName(best_leaders(members)), "tried"), signed)
+    ends = lambda x: x.select(F.explode(F.array("h", "leader")).alias("h"))
+    wanted = materialize(ends(tried).unionByName(ends(pairs)).unionByName(large.select("h")).distinct(), "wanted")
     # Occurrences are combined before they are shuffled; with the line as a key that takes no sort.
     lines = rows.select("h", "line").join(bounded(wanted), "h", "left_semi").groupBy("h", "line").agg(F.count(F.lit(1)).alias("c"))
     texts = materialize(lines.drop("c"), "lines")
 
-    links = verified(agreeing(tried, signed), texts)
-    left = open_rows(members.drop("leader"), links)
+    links = verified(tried, texts)
+    left = open_rows(large.drop("leader"), links)
     for turn in range(ROUNDS - 1):
         links = links.unionByName(verified(agreeing(other_leaders(left, turn), signed), texts))
         left = open_rows(left.drop("component"), links)
-    return links.unionByName(verified(all_pairs(left, signed, texts), texts))
+    links = links.unionByName(verified(apart(pairs, links), texts))
+    left = open_rows(left.drop("component"), links)
+    return links.unionByName(verified(large_pairs(left, signed, texts), texts))
 
 
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
