@@ -17,9 +17,12 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a folder of our own only where the session names none."""
+    """The shared folder for intermediate tables; a folder of our own only in one process that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sahifa-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sahifa-{spark.sparkContext.applicationId}"
