@@ -34,7 +34,8 @@ from sahifa.llm.union_find import components
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
-SHINGLES = "(?s)(?=(.{%d}))" % GRAM
+#: Lines are cut up in a form in which each character has WIDTH bytes, so that a shingle is found by its place.
+WIDE, WIDTH = "UTF-32", 4
 #: Signatures have SIDE times SIDE values, laid out as a square; a candidate's must agree in AGREE of them at least.
 SIDE = 5
 VALUES, AGREE = SIDE * SIDE, 14
@@ -69,14 +70,19 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("h", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """(``h``, ``sig``); equal lines have equal signatures, so occurrences are combined as they come.
+def places(wide: Column) -> Column:
+    """Where the shingles of a wide line begin; a line shorter than a shingle is one."""
+    return F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / WIDTH).cast("int") - GRAM, F.lit(0)))
 
-    A line is split into its characters once; a place in it then stands for the shingle that begins there.
-    """
-    chars = rows.filter(F.col("h").isNotNull()).select("h", F.split("line", "").alias("chars"))
-    places = chars.select("h", "chars", F.explode(F.sequence(F.lit(0), F.greatest(F.size("chars") - GRAM, F.lit(0)))).alias("i"))
-    parts = places.select("h", F.hash(*(F.get("chars", F.col("i") + j) for j in range(GRAM))).alias("x"))
+
+def shingle(wide: Column, i: Column) -> Column:
+    return F.substring(wide, WIDTH * i + 1, F.lit(WIDTH * GRAM))
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """(``h``, ``sig``); equal lines have equal signatures, so occurrences are combined as they come."""
+    wide = rows.filter(F.col("h").isNotNull()).select("h", F.encode("line", WIDE).alias("wide"))
+    parts = wide.select("h", "wide", F.explode(places(F.col("wide"))).alias("i")).select("h", F.hash(shingle(F.col("wide"), F.col("i"))).alias("x"))
     least = parts.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(XORS)))
     return least.select("h", F.array(*(f"m{k}" for k in range(VALUES))).alias("sig"))
 
@@ -117,8 +123,9 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def grams(line: str) -> Column:
     """The set of shingles of a line, as hashes."""
-    found = F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found), lambda g: F.xxhash64(g)))
+    # An array of one lets the wide line be made once for all its shingles.
+    found = F.transform(F.array(F.encode(line, WIDE)), lambda wide: F.transform(places(wide), lambda i: F.xxhash64(shingle(wide, i))))
+    return F.array_distinct(F.get(found, F.lit(0)))
 
 
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
