@@ -175,10 +175,14 @@ def best_leaders(rows: DataFrame) -> DataFrame:
     return counted.groupBy("h").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
 
 
-def open_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that ``found`` and further links make: each line is linked to its component, so rounds are few."""
+    return components(found.toDF("h", "leader").unionByName(links), "h", "leader")
+
+
+def open_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with each line's component so far, without the buckets that have one only."""
-    found = components(links, "h", "leader").withColumnRenamed("node", "h")
-    rows = materialize(rows.join(bounded(found), "h", "left").withColumn("component", F.coalesce("component", "h")), "labelled")
+    rows = materialize(rows.join(bounded(found.withColumnRenamed("node", "h")), "h", "left").withColumn("component", F.coalesce("component", "h")), "labelled")
     several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     return materialize(rows.join(bounded(materialize(several, "several")), "bucket"), "open")
 
@@ -226,16 +230,16 @@ def large_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFra
     return materialize(x.join(y.drop("leader_band"), same & apart & bits_allow() & first_agreeing()).select("h", "leader"), "pairs")
 
 
-def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The (``h``, ``leader``) pairs that ``links`` don't hold together."""
-    found = bounded(components(links, "h", "leader"))
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The (``h``, ``leader``) pairs that the components found don't hold together."""
+    found = bounded(found)
     of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
     both = pairs.join(of("h", "x"), "h", "left").join(of("leader", "y"), "leader", "left")
     return materialize(both.filter(F.coalesce("x", "h") != F.coalesce("y", "leader")).select("h", "leader"), "apart")
 
 
-def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``h``, ``leader``): links that hold each component of similar lines together."""
+def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``node``, ``component``) of each line that is similar to another."""
     rows = occurrences(df, id_col, text_col)
     signed = materialize(signatures(rows), "signatures")
     keys = bucket_rows(signed)
@@ -253,19 +257,19 @@ def line_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = rows.select("h", "line").join(bounded(wanted), "h", "left_semi").groupBy("h", "line").agg(F.count(F.lit(1)).alias("c"))
     texts = materialize(lines.drop("c"), "lines")
 
-    links = verified(tried, texts)
-    left = open_rows(large.drop("leader"), links)
+    found = components(verified(tried, texts), "h", "leader")
+    left = open_rows(large.drop("leader"), found)
     for turn in range(ROUNDS - 1):
-        links = links.unionByName(verified(agreeing(other_leaders(left, turn), signed), texts))
-        left = open_rows(left.drop("component"), links)
-    links = links.unionByName(verified(apart(pairs, links), texts))
-    left = open_rows(left.drop("component"), links)
-    return links.unionByName(verified(large_pairs(left, signed, texts), texts))
+        found = joined(found, verified(agreeing(other_leaders(left, turn), signed), texts))
+        left = open_rows(left.drop("component"), found)
+    found = joined(found, verified(apart(pairs, found), texts))
+    left = open_rows(left.drop("component"), found)
+    return joined(found, verified(large_pairs(left, signed, texts), texts))
 
 
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``_id``, ``_text``, ``n_lines`` (with a word), ``n_kept`` and ``dropped`` (places, sorted)."""
-    found = materialize(components(line_links(df, id_col, text_col), "h", "leader"), "components").withColumnRenamed("node", "h")
+    found = line_components(df, id_col, text_col).withColumnRenamed("node", "h")
     rows = occurrences(df, id_col, text_col).select("_id", "_text", "at", "h").join(bounded(found), "h", "left")
     rows = materialize(rows.select("_id", "_text", "at", F.coalesce("component", "h").alias("component")), "occurrences")
     # Most lines are the only ones of their component; an owner is needed of the others.
