@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sahifa.cluster import materialize
 from sahifa.functions.frames import once
-from sahifa.llm.union_find import components
+from sahifa.llm.union_find import components, narrowed
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
@@ -182,9 +182,12 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 def open_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with each line's component so far, without the buckets that have one only."""
-    rows = materialize(rows.join(bounded(found.withColumnRenamed("node", "h")), "h", "left").withColumn("component", F.coalesce("component", "h")), "labelled")
+    few = rows.count()
+    all_read = few + found.count()
+    rows = rows.join(bounded(found.withColumnRenamed("node", "h")), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    rows = materialize(narrowed(rows, all_read), "labelled")
     several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    return materialize(rows.join(bounded(materialize(several, "several")), "bucket"), "open")
+    return materialize(narrowed(rows.join(bounded(materialize(narrowed(several, few), "several")), "bucket"), few), "open")
 
 
 def other_leaders(rows: DataFrame, turn: int) -> DataFrame:
@@ -193,7 +196,7 @@ def other_leaders(rows: DataFrame, turn: int) -> DataFrame:
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), lead)
     top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component", "lead")).alias("top"))
     led = rows.select("bucket", "h", "component").join(top.select("bucket", F.col("top.component").alias("_top"), F.col("top.lead.h").alias("leader")), "bucket")
-    return materialize(led.filter("component <> _top").select("h", "leader").distinct(), "tried")
+    return materialize(narrowed(led.filter("component <> _top").select("h", "leader").distinct(), 2 * rows.count()), "tried")
 
 
 def in_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,10 +235,10 @@ def large_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFra
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The (``h``, ``leader``) pairs that the components found don't hold together."""
-    found = bounded(found)
+    read, found = pairs.count() + 2 * found.count(), bounded(found)
     of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
     both = pairs.join(of("h", "x"), "h", "left").join(of("leader", "y"), "leader", "left")
-    return materialize(both.filter(F.coalesce("x", "h") != F.coalesce("y", "leader")).select("h", "leader"), "apart")
+    return materialize(narrowed(both.filter(F.coalesce("x", "h") != F.coalesce("y", "leader")).select("h", "leader"), read), "apart")
 
 
 def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
