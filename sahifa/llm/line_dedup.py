@@ -230,7 +230,9 @@ def large_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFra
     x, y = in_parts(materialize(bounded(rows.select("bucket", "band", "h", "component")).join(held, "h"), "marked"))
     same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("part") == F.col("leader_part"))
     apart = (F.col("h") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & few_agree("few", "leader_few")
-    return materialize(x.join(y.drop("leader_band"), same & apart & bits_allow() & first_agreeing()).select("h", "leader"), "pairs")
+    met = x.join(y.drop("leader_band"), same & apart & bits_allow() & first_agreeing())
+    # Each pair is met once. Being distinct keeps a bucket's part in its task: parts are cut to size, Spark needn't cut them again.
+    return materialize(met.select("bucket", "part", "h", "leader").distinct().select("h", "leader"), "pairs")
 
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
