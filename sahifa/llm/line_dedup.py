@@ -8,10 +8,10 @@ the occurrence in the smallest document, and there the first, stays. A line shor
 Signatures are VALUES minima over all shingles' hashes, each under another XOR mask; a value is equal in two lines
 with their Jaccard similarity as probability. Bands of five values deal lines to buckets. A bucket of two lines is a
 candidate pair; in larger ones a line is held against the leader that it shares most buckets with. AGREE values must be
-equal, and then the Jaccard similarity of all shingles is taken. Large buckets whose lines hang together are done; what
-others hold is held against another leader. Then all pairs of different components that a bucket has are taken,
-whatever its size: each pair in the first bucket that it shares, and large buckets in several tasks and by bitmaps of
-their lines' shingles, which rule out what isn't nearly similar without a loss.
+equal, which a few bits of each tell of most pairs. Bitmaps of the shingles of all lines in such pairs rule out what
+isn't nearly similar without a loss, and then the Jaccard similarity of all shingles is taken. Large buckets whose lines
+hang together are done; what others hold is held against another leader. Then all pairs of different components that a
+bucket has are taken, whatever its size, those of large buckets in several tasks.
 
 A pair of similarity 0.8, 0.85 or 0.9 is a candidate with probability 0.99, 0.998 or 0.9998; that is the banding's
 recall and the only way to lose a link. Lines are told apart by 64-bit hashes.
@@ -34,8 +34,9 @@ from sahifa.llm.union_find import components, narrowed
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 GRAM, PERCENT = 5, 80
-#: Lines are cut up in a form in which each character has WIDTH bytes, so that a shingle is found by its place.
-WIDE, WIDTH = "UTF-32", 4
+#: Lines are cut up in a form in which each character has WIDTH bytes, so that a shingle is found by its place. A row of
+#: STEP shingles is looked up, read and written once in what is summed up by line.
+WIDE, WIDTH, STEP = "UTF-32", 4, 8
 #: Signatures have SIDE times SIDE values, laid out as a square; a candidate's must agree in AGREE of them at least.
 SIDE = 5
 VALUES, AGREE = SIDE * SIDE, 14
@@ -53,8 +54,8 @@ BROADCAST_ROWS = 1_000_000
 SHARE = 1000
 #: Rounds against leaders before all pairs that are left are taken.
 ROUNDS = 2
-#: Lines in a bucket whose pairs are told by signatures, at most; in larger ones bitmaps of WORDS numbers of 64 bits do,
-#: and before these bitmaps of FOLDED, which are compared at less cost.
+#: Lines in a bucket all of whose pairs are told by signatures before bitmaps, at most. Bitmaps have WORDS numbers of 64
+#: bits; in large buckets those folded to FOLDED are compared before, at less cost.
 SMALL, WORDS, FOLDED = 64, 32, 16
 
 
@@ -70,37 +71,43 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("h", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
-def places(wide: Column) -> Column:
-    """Where the shingles of a wide line begin; a line shorter than a shingle is one."""
-    return F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / WIDTH).cast("int") - GRAM, F.lit(0)))
+def last_place(wide: Column) -> Column:
+    """The byte where the last shingle of a wide line begins, from 1; a line shorter than a shingle is one."""
+    return F.greatest(F.octet_length(wide) - (WIDTH * GRAM - 1), F.lit(1))
 
 
-def shingle(wide: Column, i: Column) -> Column:
-    return F.substring(wide, WIDTH * i + 1, F.lit(WIDTH * GRAM))
+def shingle(wide: Column, at: Column) -> Column:
+    return F.substring(wide, at, F.lit(WIDTH * GRAM))
+
+
+def steps(lines: DataFrame, hashed) -> DataFrame:
+    """(``h``, ``n``, ``x0``, ...): rows of STEP shingles of each line, hashed; the last is taken again where none is left.
+
+    ``n`` is the number of the line's shingles, equal ones counted each.
+    """
+    wide = lines.select("h", F.encode("line", WIDE).alias("wide"))
+    rows = wide.select("h", "wide", last_place(F.col("wide")).alias("last"))
+    rows = rows.select("h", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(WIDTH * STEP))).alias("at"))
+    places = (F.least(F.col("at") + WIDTH * j, F.col("last")) if j else F.col("at") for j in range(STEP))
+    return rows.select("h", ((F.col("last") + (WIDTH - 1)) / WIDTH).cast("int").alias("n"), *(hashed(shingle(F.col("wide"), at)).alias(f"x{j}") for j, at in enumerate(places)))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(``h``, ``sig``); equal lines have equal signatures, so occurrences are combined as they come."""
-    wide = rows.filter(F.col("h").isNotNull()).select("h", F.encode("line", WIDE).alias("wide"))
-    parts = wide.select("h", "wide", F.explode(places(F.col("wide"))).alias("i")).select("h", F.hash(shingle(F.col("wide"), F.col("i"))).alias("x"))
-    least = parts.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(XORS)))
-    return least.select("h", F.array(*(f"m{k}" for k in range(VALUES))).alias("sig"))
+    """(``h``, ``sig``, ``few``: FEW bits of each value); equal lines have equal signatures, so they are combined as they come."""
+    parts = steps(rows.filter(F.col("h").isNotNull()), F.hash)
+    least = parts.groupBy("h").agg(*(F.min(F.least(*(F.col(f"x{j}").bitwiseXOR(F.lit(x)) for j in range(STEP)))).alias(f"m{k}") for k, x in enumerate(XORS)))
+    bits = (F.shiftleft(F.col(f"m{k}").bitwiseAND((1 << FEW) - 1).cast("bigint"), FEW * k) for k in range(VALUES))
+    return least.select("h", F.array(*(f"m{k}" for k in range(VALUES))).alias("sig"), functools.reduce(lambda x, y: x.bitwiseOR(y), bits).alias("few"))
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
     """(``h``, ``band``, ``bucket``): a row for each band of each line.
 
-    Bands are numbered first and looked up then: an array of all keys would be more code than the JVM compiles.
+    Bands are taken from a table and looked up then: an array of all keys would be more code than the JVM compiles.
     """
-    bands = F.array(*(F.array(*map(F.lit, band)) for band in BANDS))
-    numbered = signed.select("h", "sig", F.explode(F.sequence(F.lit(0), F.lit(len(BANDS) - 1))).alias("band"))
-    values = (F.get("sig", F.get(F.get(bands, F.col("band")), F.lit(k))) for k in range(SIDE))
-    return numbered.select("h", "band", F.xxhash64("band", *values).alias("bucket"))
-
-
-def few_bits(sig: str) -> Column:
-    """FEW bits of each value of a signature, as one number."""
-    return F.aggregate(sig, F.lit(0).cast("bigint"), lambda total, v: F.shiftleft(total, FEW).bitwiseOR(v.bitwiseAND((1 << FEW) - 1).cast("bigint")))
+    bands = F.array(*(F.struct(F.lit(b).alias("band"), *(F.lit(v).alias(f"v{k}") for k, v in enumerate(band))) for b, band in enumerate(BANDS)))
+    numbered = signed.select("h", "sig", F.explode(bands).alias("of"))
+    return numbered.select("h", F.col("of.band").alias("band"), F.xxhash64("of.band", *(F.get("sig", F.col(f"of.v{k}")) for k in range(SIDE))).alias("bucket"))
 
 
 def few_agree(a: str, b: str) -> Column:
@@ -122,17 +129,28 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def grams(line: str) -> Column:
-    """The set of shingles of a line, as hashes."""
+    """The shingles of a line, as hashes, equal ones each."""
     # An array of one lets the wide line be made once for all its shingles.
-    found = F.transform(F.array(F.encode(line, WIDE)), lambda wide: F.transform(places(wide), lambda i: F.xxhash64(shingle(wide, i))))
-    return F.array_distinct(F.get(found, F.lit(0)))
+    places = lambda wide: F.sequence(F.lit(1), last_place(wide), F.lit(WIDTH))
+    found = F.transform(F.array(F.encode(line, WIDE)), lambda wide: F.transform(places(wide), lambda at: F.xxhash64(shingle(wide, at))))
+    return F.get(found, F.lit(0))
+
+
+def with_both(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pairs`` (written) with the columns of ``lines`` for ``h``, and as ``leader_...`` for the leader."""
+    return bounded(pairs).join(lines, "h").join(among(named_leader(lines), pairs, "leader"), "leader")
+
+
+def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (written) whose signatures can agree by their few bits; the signatures aren't moved for that."""
+    both = with_both(pairs, signed.select("h", "few"))
+    return both.filter(few_agree("few", "leader_few")).select(pairs.columns)
 
 
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The (``h``, ``leader``) pairs (written) whose signatures agree in AGREE values; lines aren't read for that."""
-    led = signed.select(F.col("h").alias("leader"), F.col("sig").alias("leader_sig"))
-    both = bounded(pairs).join(signed, "h").join(among(led, pairs, "leader"), "leader")
-    return materialize(both.filter(F.bit_count(equal_values("sig", "leader_sig")) >= AGREE).select("h", "leader"), "agreeing")
+    """The pairs (written) whose signatures agree in AGREE values; lines aren't read for that."""
+    both = with_both(pairs, signed.select("h", "sig"))
+    return materialize(both.filter(F.bit_count(equal_values("sig", "leader_sig")) >= AGREE).select(pairs.columns), "agreeing")
 
 
 def among(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -140,29 +158,45 @@ def among(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(pairs.select(key).distinct()), key, "left_semi") if pairs.count() <= BROADCAST_ROWS else rows
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (``h``, ``leader``) pairs (written) whose lines are similar. ``texts`` has ``h`` and ``line``."""
-    both = bounded(pairs).join(texts, "h").join(among(texts.select(F.col("h").alias("leader"), F.col("line").alias("leader_line")), pairs, "leader"), "leader")
+def verified(pairs: DataFrame, texts: DataFrame, held: DataFrame) -> DataFrame:
+    """The (``h``, ``leader``) pairs (written) whose lines are similar. ``texts`` has ``h`` and ``line``, ``held`` bitmaps."""
+    pairs = materialize(with_both(pairs, held).filter(whole_allow()).select("h", "leader"), "allowed")
+    both = with_both(pairs, texts)
     sets = once(once(both, "x", grams("line")).drop("line"), "y", grams("leader_line")).drop("leader_line")
-    shared = F.size(F.array_intersect("x", "y"))
-    similar = sets.filter((100 + PERCENT) * shared >= PERCENT * (F.size("x") + F.size("y")))
+    similar = sets.filter(100 * F.size(F.array_intersect("x", "y")) >= PERCENT * F.size(F.array_union("x", "y")))
     return materialize(similar.select("h", "leader"), "similar")
 
 
 def presence(texts: DataFrame) -> DataFrame:
-    """(``h``, ``n``, ``bits``, ``b0``, ...): the number of different shingles, which cells they hash to, and that folded."""
-    cells = texts.select("h", F.explode(grams("line")).alias("x")).select("h", F.shiftrightunsigned("x", 6).bitwiseAND(WORDS - 1).alias("word"), F.expr("shiftleft(1L, int(x & 63))").alias("bit"))
-    held = cells.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(0)).alias(f"w{k}") for k in range(WORDS)))
-    folded = (functools.reduce(lambda x, y: x.bitwiseOR(y), (F.col(f"w{k}") for k in range(j, WORDS, FOLDED))).alias(f"b{j}") for j in range(FOLDED))
-    return held.select("h", "n", F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"), *folded)
+    """(``h``, ``n``, ``bits``): the number of shingles of different lines, equal ones counted each, and which cells they hash to."""
+    cells = steps(texts, F.xxhash64)
+    word = lambda j: F.shiftrightunsigned(f"x{j}", 6).bitwiseAND(WORDS - 1)
+    cells = cells.select("h", "n", *(word(j).alias(f"word{j}") for j in range(STEP)), *(F.expr(f"shiftleft(1L, int(x{j} & 63))").alias(f"bit{j}") for j in range(STEP)))
+    some = lambda k: functools.reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col(f"word{j}") == k, F.col(f"bit{j}")).otherwise(F.lit(0).cast("bigint")) for j in range(STEP)))
+    found = cells.groupBy("h").agg(F.max("n").alias("n"), *(F.bit_or(some(k)).alias(f"w{k}") for k in range(WORDS)))
+    return found.select("h", "n", F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
 
 
-def bits_allow() -> Column:
-    """Whether two bitmaps differ in no more cells than similar lines' shingles can: first folded, then whole."""
-    most = (F.col("n") + F.col("leader_n")) * (100 - PERCENT)
-    folded = sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"leader_b{k}"))) for k in range(FOLDED))
+def folded(held: DataFrame) -> DataFrame:
+    """``held`` with ``b0``, ...: the bitmaps folded."""
+    return held.select("*", *(functools.reduce(lambda x, y: x.bitwiseOR(y), (F.get("bits", F.lit(k)) for k in range(j, WORDS, FOLDED))).alias(f"b{j}") for j in range(FOLDED)))
+
+
+def most_differing() -> Column:
+    """In how many shingles two similar lines can differ, times 100 + PERCENT; by numbers that are too large it is more."""
+    return (F.col("n") + F.col("leader_n")) * (100 - PERCENT)
+
+
+def whole_allow() -> Column:
+    """Whether two bitmaps differ in no more cells than similar lines' shingles can."""
     whole = F.aggregate(F.zip_with("bits", "leader_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, c: total + c)
-    return (folded * (100 + PERCENT) <= most) & (whole * (100 + PERCENT) <= most)
+    return whole * (100 + PERCENT) <= most_differing()
+
+
+def bits_allow() -> Column:
+    """The same, first by the folded bitmaps."""
+    differ = sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"leader_b{k}"))) for k in range(FOLDED))
+    return (differ * (100 + PERCENT) <= most_differing()) & whole_allow()
 
 
 def named_leader(rows: DataFrame) -> DataFrame:
@@ -217,17 +251,17 @@ def first_agreeing() -> Column:
 
 
 def small_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """All (``h``, ``leader``) pairs of small buckets whose signatures agree: a row meets SMALL others at most."""
-    marked = materialize(bounded(rows.select("bucket", "band", "h")).join(signed.withColumn("few", few_bits("sig")), "h"), "small")
-    same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("h") < F.col("leader")) & few_agree("few", "leader_few") & first_agreeing()
-    return materialize(marked.join(named_leader(marked.drop("band")), same).select("h", "leader"), "pairs")
+    """All (``h``, ``leader``) pairs of small buckets that are likely, for each bucket: a row meets SMALL others at most."""
+    marked = materialize(bounded(rows.select("bucket", "h")).join(signed.select("h", "few"), "h"), "small")
+    same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("h") < F.col("leader")) & few_agree("few", "leader_few")
+    return marked.join(named_leader(marked), same).select("h", "leader")
 
 
-def large_pairs(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+def large_pairs(rows: DataFrame, signed: DataFrame, held: DataFrame) -> DataFrame:
     """All (``h``, ``leader``) pairs of different components of large buckets whose signatures agree and bitmaps allow."""
     ids = materialize(rows.select("h").distinct(), "ids")
-    held = presence(texts.join(bounded(ids), "h", "left_semi")).join(bounded(ids).join(signed.withColumn("few", few_bits("sig")), "h"), "h")
-    x, y = in_parts(materialize(bounded(rows.select("bucket", "band", "h", "component")).join(held, "h"), "marked"))
+    known = bounded(ids).join(folded(held), "h").join(bounded(ids).join(signed, "h"), "h")
+    x, y = in_parts(materialize(bounded(rows.select("bucket", "band", "h", "component")).join(known, "h"), "marked"))
     same = (F.col("bucket") == F.col("leader_bucket")) & (F.col("part") == F.col("leader_part"))
     apart = (F.col("h") < F.col("leader")) & (F.col("component") != F.col("leader_component")) & few_agree("few", "leader_few")
     met = x.join(y.drop("leader_band"), same & apart & bits_allow() & first_agreeing())
@@ -253,23 +287,29 @@ def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A bucket of two is a pair; of larger ones the rows are needed.
     twos = shared.filter("c = 2").select(F.col("last").alias("h"), "leader").distinct()
     members = materialize(keys.join(bounded(shared.filter("c > 2").select("bucket", "leader", "c")), "bucket"), "members")
-    pairs = small_pairs(members.filter(F.col("c") <= SMALL), signed)
     large = members.filter(F.col("c") > SMALL).drop("c")
-    tried = agreeing(materialize(twos.unionByName(best_leaders(members)), "tried"), signed)
+    first = likely(materialize(twos.unionByName(best_leaders(members)), "tried"), signed)
+    both = first.withColumn("first", F.lit(True)).unionByName(small_pairs(members.filter(F.col("c") <= SMALL), signed).withColumn("first", F.lit(False)))
+    # Pairs of small buckets run the other way than those of leaders; each is asked for once.
+    both = both.groupBy(F.greatest("h", "leader").alias("h"), F.least("h", "leader").alias("leader")).agg(F.max("first").alias("first"))
+    pairs = agreeing(materialize(both, "likely"), signed)
+    tried = pairs.filter("first").drop("first")
+    pairs = pairs.filter("not first").drop("first")
     ends = lambda x: x.select(F.explode(F.array("h", "leader")).alias("h"))
     wanted = materialize(ends(tried).unionByName(ends(pairs)).unionByName(large.select("h")).distinct(), "wanted")
     # Occurrences are combined before they are shuffled; with the line as a key that takes no sort.
     lines = rows.select("h", "line").join(bounded(wanted), "h", "left_semi").groupBy("h", "line").agg(F.count(F.lit(1)).alias("c"))
     texts = materialize(lines.drop("c"), "lines")
+    held = materialize(presence(texts), "bitmaps")
 
-    found = components(verified(tried, texts), "h", "leader")
+    found = components(verified(tried, texts, held), "h", "leader")
     left = open_rows(large.drop("leader"), found)
     for turn in range(ROUNDS - 1):
-        found = joined(found, verified(agreeing(other_leaders(left, turn), signed), texts))
+        found = joined(found, verified(agreeing(other_leaders(left, turn), signed), texts, held))
         left = open_rows(left.drop("component"), found)
-    found = joined(found, verified(apart(pairs, found), texts))
+    found = joined(found, verified(apart(pairs, found), texts, held))
     left = open_rows(left.drop("component"), found)
-    return joined(found, verified(large_pairs(left, signed, texts), texts))
+    return joined(found, verified(large_pairs(left, signed, held), texts, held))
 
 
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

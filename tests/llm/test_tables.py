@@ -205,6 +205,35 @@ def test_large_buckets_lose_nothing(spark, monkeypatch):
     assert 0.97 * possible <= len(lines) - lines_kept(spark, lines) <= possible
 
 
+def test_lines_with_bitmaps_are_as_many_as_lines_in_pairs(spark, monkeypatch):
+    """Not those of buckets that have grown large only, or their number would jump from none to all as a family grows."""
+    seen, presence = [], line_dedup.presence
+    monkeypatch.setattr(line_dedup, "presence", lambda texts: seen.append(texts.count()) or presence(texts))
+    rng = random.Random(19)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    lines = [" ".join(f"x{i}" if k == i % 40 else w for k, w in enumerate(base)) for i in range(100)]
+    assert lines_kept(spark, lines[:20]) == lines_kept(spark, lines) == 1
+    assert seen == [20, 100]
+
+
+def test_signatures_and_bitmaps_are_of_all_shingles(spark):
+    """Rows of several shingles lose none, whatever is left over for the last row, and lines that are similar may pass."""
+    rng = random.Random(20)
+    letters = lambda n: "".join(rng.choices("abcdeé\U0001f600", k=n))
+    lines = [letters(n) for n in (*range(1, 40), 3000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    pieces = [(h, x[k : k + 5]) for h, x in enumerate(lines) for k in range(max(1, len(x) - 4))]
+    hashed = spark.createDataFrame(pieces, "h long, s string").select("h", F.hash(F.encode("s", "UTF-32")).alias("x"), F.xxhash64(F.encode("s", "UTF-32")).alias("y")).collect()
+    sig, cells, counts = {}, {}, collections.Counter(r["h"] for r in hashed)
+    for r in hashed:
+        sig[r["h"]] = list(map(min, sig.get(r["h"], [1 << 31] * line_dedup.VALUES), (r["x"] ^ m for m in line_dedup.XORS)))
+        cells.setdefault(r["h"], set()).add(((r["y"] >> 6) % line_dedup.WORDS, r["y"] % 64))
+    for r in line_dedup.signatures(df).collect():
+        assert r["sig"] == sig[r["h"]] and r["few"] == sum((v & 3) << 2 * k for k, v in enumerate(sig[r["h"]]))
+    for r in line_dedup.presence(df).collect():
+        assert r["n"] == counts[r["h"]] and {(k, b) for k, w in enumerate(r["bits"]) for b in range(64) if w >> b & 1} == cells[r["h"]]
+
+
 def lines_kept(spark, lines):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     return sum(r["n_kept"] for r in line_dedup.line_verdicts(df).collect())
